@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode
 from .exact_dedup import exact_groups
-from .scratch import table
+from .scratch import settle, table
 from .sharding import interleaved_shards
 from .simhash import near_groups
+from .warc import captures, remove_archives
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,25 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def word_vocabulary() -> str:
+    """The path of the vocabulary file that the BPE query and the pipeline use."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode(table(spark, sf_dir, "documents"), word_vocabulary())
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _, folder = captures(table(spark, sf_dir, "pages"))
+    found = settle(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove_archives(spark, folder)
+    return found
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -37,13 +59,28 @@ from n
 """
 
 
+OP6_SQL = """
+with p as (
+  select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as payload_digest, octet_length(encode(coalesce(html, ''))) as n from pages
+), f as (
+  select *, max(page_id) over (partition by payload_digest, n >= 1000) as first from p
+)
+select page_id, cast(n as bigint) as payload_bytes, payload_digest,
+       case when n >= 1000 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and page_id <> first then first end as refers_to
+from f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_bpe": op5_bpe,
+        "op6_warc": op6_warc,
         "op8_sharding": op8_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_warc": OP6_SQL}
