@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .bpe import encode
 from .exact_dedup import exact_groups
+from .html_extract import extract
+from .lm_score import score
+from .quality import judge, train
 from .scratch import settle, table
 from .sharding import interleaved_shards
 from .simhash import near_groups
@@ -19,10 +22,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled as good; the background are all."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score(table(spark, sf_dir, "documents"), good)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, train(docs))
+
+
 def word_vocabulary() -> str:
     """The path of the vocabulary file that the BPE query and the pipeline use."""
     import public_tokenizers
@@ -42,6 +56,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -75,10 +93,13 @@ from f
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_lm_score": op2_lm_score,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality": op4_quality,
         "op5_bpe": op5_bpe,
         "op6_warc": op6_warc,
         "op8_sharding": op8_sharding,
+        "op9_html": op9_html,
     }
 
 
