@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode
+from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .html_extract import extract
+from .licenses import licenses
 from .lm_score import score
 from .quality import judge, train
 from .scratch import settle, table
@@ -90,6 +92,14 @@ from f
 """
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -98,8 +108,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_bpe": op5_bpe,
         "op6_warc": op6_warc,
+        "op7_licenses": op7_licenses,
         "op8_sharding": op8_sharding,
         "op9_html": op9_html,
+        "op10_decontamination": op10_decontamination,
     }
 
 
