@@ -1,0 +1 @@
+"""Graph operators: building, walking, inserting, reachability."""
