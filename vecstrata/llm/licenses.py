@@ -114,9 +114,8 @@ class Scanner:
                 continue
             lacking, added = self.differences(block.decode("utf-8", "replace"), name)
             most = DIFFERENT * len(self.words[name])
-            inside = [w for w in added if w not in self.words[name]]
-            if not TELLING & {*lacking} and not TELLING & {*inside} and len(lacking) <= most and len(inside) <= max(most, 6 * ("{y}" in self.words[name])):
-                found.append((len(lacking) + len(inside), -len(self.words[name]), -saved, name, saved, lacking, inside))
+            if not TELLING & {*lacking, *added} and len(lacking) <= most and len(added) <= max(most, 6 * ("{y}" in self.words[name])):
+                found.append((len(lacking) + len(added), -len(self.words[name]), -saved, name, saved, lacking, added))
         return min(found)[3:] if found else None
 
     def blocks(self, text: bytes) -> Iterator[tuple[int, bytes]]:
