@@ -407,14 +407,13 @@ class VectorIndex:
             found.setdefault(str(r.shard), {})[str(r.label)] = r.node_id
         out = {}
         for shard, s in m["starts"].items():
-            labeled = {x: n for x, n in s["labeled"].items() if n not in lost}
-            for x, n in s["labeled"].items():
-                if n in lost and x in found.get(shard, {}):
-                    labeled[x] = found[shard][x]
-            kept = s["default"] if s["default"] not in lost else default.get(shard)
-            if kept is None and shard in cut:
-                kept = next(iter(labeled.values()), None)
-            out[shard] = {"default": kept, "labeled": labeled}
+            if not lost & {s["default"], *s["labeled"].values()}:
+                out[shard] = s
+                continue
+            labeled = dict(found.get(shard, {}))
+            if shard in cut:  # what the search did not get to keeps its entry
+                labeled = {x: n for x, n in s["labeled"].items() if n not in lost} | labeled
+            out[shard] = {"default": default.get(shard), "labeled": labeled}
         return out
 
     # -- the log ---------------------------------------------------------
