@@ -7,8 +7,8 @@ either class, with a prior that complaints about good texts are rare; it
 estimates how accurate each is and gives every combination of answers a
 posterior.  Silence is no evidence.  The posteriors of a bounded sample of documents (``SAMPLE``
 rows of least id hash) are the soft labels of a linear scorer over hashed byte
-trigrams and hashed labeller measurements, and the scorer decides on every
-document, also where the heuristics are silent.
+trigrams and hashed labeller measurements.  The mean of the scorer's and the
+heuristics' log-odds decides on every document, also where these are silent.
 
 The joint answers have at most 3**8 combinations, so what reaches the driver is
 bounded; the sample is bounded by its parameter.
@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 
 #: Documents that the scorer is fitted on, at most, and buckets of its trigrams and measurements.
 SAMPLE, BUCKETS = 3000, 1 << 12
-#: A document is kept from this probability on: a good one lost weighs more than a bad one kept.
-KEEP = 0.35
 #: Share of good documents assumed at first.
 GOOD_SHARE = 0.85
 #: Prior of a complaint about a good text, and its weight against the data: each labeller looks for one fault, so
@@ -174,14 +172,17 @@ class QualityModel:
         self.labels, self.weights = labels, weights
 
     def judge(self, text: bytes | None) -> tuple[float, float, bool]:
-        """(posterior of the heuristics, probability by the scorer, whether it is kept)."""
+        """(posterior of the heuristics, probability by the mean log-odds of scorer and heuristics, whether it is kept)."""
         text = text or b""
         found = measures(text)
         if not text.split():
             return 0.0, 0.0, False
         posterior = self.labels.known.get(key_of(votes(found)), 0.5)
-        p = posterior if self.weights is None else float(1 / (1 + np.exp(-np.clip(vector(text, found) @ self.weights[:-1] + self.weights[-1], -30, 30))))
-        return posterior, p, p >= KEEP
+        if self.weights is None:
+            return posterior, posterior, posterior >= 0.5
+        said = np.clip(np.log(max(posterior, 1e-9) / max(1 - posterior, 1e-9)), -6, 6)
+        odds = (float(vector(text, found) @ self.weights[:-1] + self.weights[-1]) + said) / 2
+        return posterior, float(1 / (1 + np.exp(-np.clip(odds, -30, 30)))), odds >= 0
 
 
 def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
