@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vecstrata import IndexConfig, Quantizer, QueryBudget, SearchOptions, VectorIndex
 from vecstrata.errors import BudgetExceededError, ConfigMismatchError, DimensionMismatchError, IndexClosedError, IndexExistsError, IndexNotFoundError, InvalidArgumentError, InvalidVectorError, ManifestConflictError, SnapshotExpiredError, StorageError
 from vecstrata.functions.vectors import label_set
-from vecstrata.index import run_typed
+from vecstrata.index import recall, run_typed
 from vecstrata.operators.graph import Graph
 from vecstrata.streaming import ingest, mutation_stream
 
@@ -241,6 +241,21 @@ def test_log_and_retention(spark, uri):
     assert ix.bulk_build(table(spark, [])).manifest["segments"] == [] and ix.nodes().count() == 0
 
 
+def test_cache_and_recovery(spark):
+    ix = built(spark, "memory:", [(k, [k, 0]) for k in range(6)], max_neighbors=2, build_search_list_size=4, shards=2)
+    ix.cache(1)
+    q = asked(spark, [2.2, 0])
+    before = ix.snapshot()
+    assert hits(ix.search(q, 3, 6)) == hits(ix.exact_search(q, 3)) and list(ix._cached) == [before.version]
+    ix.insert(table(spark, [(9, [2.1, 0])]))
+    ix.delete(spark.createDataFrame([(7,)], "node_id bigint"))
+    assert hits(ix.search(q, 3, 7)) == hits(ix.exact_search(q, 3)) and list(ix._cached) == [ix.snapshot().version]
+    assert nodes_of(ix.search(q, 1, 7, snapshot=before)) == [3] and ix.recovered_high_water() == 7
+    assert recall(ix.search(q, 3, 7), ix.exact_search(q, 3), 3) == 1.0
+    ix.close()
+    assert not ix._cached
+
+
 def test_stream(spark, tmp_path):
     source = built(spark, "memory:", [(1, [0, 0])])
     source.insert(table(spark, [(2, [1, 0]), (3, [2, 0])]))

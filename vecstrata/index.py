@@ -17,7 +17,7 @@ from .config import IndexConfig, QueryBudget, SearchOptions
 from .errors import ConfigMismatchError, DimensionMismatchError, IndexClosedError, InvalidArgumentError, InvalidVectorError, SnapshotExpiredError, StorageError, raise_typed
 from .functions.quantize import bit_words, sbq_bits, thresholds, train_statistics
 from .functions.vectors import is_valid_vector, label_set, normalised, prefix, valid_node
-from .operators.shards import NODES, build_edges, link_new, reachable, walk
+from .operators.shards import NODES, build_nodes, link_new, reachable, walk
 from .plans.exact import exact_topk
 from .plans.visibility import first_segment, node_reads, visible_nodes
 from .sources.storage import FileStorage, Storage, destroy_uri, open_uri, parse_uri
@@ -62,6 +62,9 @@ class VectorIndex:
         self.storage, self.config, self.spark = storage, config, storage.spark
         self._lock = threading.Lock()
         self._closed = False
+        self._quantizer: tuple = (None, None)
+        self._cached: dict[int, DataFrame] = {}
+        self._capacity = 0
 
     # -- handles ---------------------------------------------------------
 
@@ -105,6 +108,7 @@ class VectorIndex:
     def close(self) -> None:
         if not self._closed:
             self._closed = True
+            self.cache(0)
             self.storage.close()
 
     def __enter__(self) -> VectorIndex:
@@ -143,7 +147,22 @@ class VectorIndex:
         """The node rows that a snapshot shows."""
         return self._nodes(self._pinned(snapshot))
 
+    def cache(self, capacity: int = 1) -> None:
+        """Keep the node rows of up to ``capacity`` snapshots from now on, the latest read last to go; 0 keeps none."""
+        self._capacity = capacity
+        while len(self._cached) > capacity:
+            self._cached.pop(next(iter(self._cached))).unpersist()
+
     def _nodes(self, m: dict) -> DataFrame:
+        """Cached rows are keyed by the snapshot's version, which names a frozen state."""
+        if not self._capacity:
+            return self._visible(m)
+        if m["version"] not in self._cached:
+            self._cached[m["version"]] = self._visible(m).persist()
+            self.cache(self._capacity)
+        return self._cached[m["version"]]
+
+    def _visible(self, m: dict) -> DataFrame:
         base = None
         for pos, segment in enumerate(m["segments"]):
             try:
@@ -253,8 +272,10 @@ class VectorIndex:
     def _statistics(self, m: dict) -> tuple | None:
         if self.config.quantizer is None or m["quantizer"] is None:
             return None
-        stored = self.storage.get(f"quantizers/{m['quantizer']}").first()
-        return stored["count"], list(stored["mean"]), list(stored["m2"])
+        if self._quantizer[0] != m["quantizer"]:  # the one in use is kept
+            stored = self.storage.get(f"quantizers/{m['quantizer']}").first()
+            self._quantizer = m["quantizer"], (stored["count"], list(stored["mean"]), list(stored["m2"]))
+        return self._quantizer[1]
 
     def _encoded(self, rows: DataFrame, stats: tuple | None) -> DataFrame:
         """Node rows without edges from (node_id, external_id, vector, labels)."""
@@ -297,8 +318,7 @@ class VectorIndex:
                     schema = "ref bigint, scope string, version bigint, dimensions int, bits_per_dimension int, use_mean boolean, count bigint, mean array<double>, m2 array<double>"
                     self.storage.put(f"quantizers/{ref}", self.spark.createDataFrame(made, schema))
             nodes = self._encoded(rows, stats)
-            wired = nodes.drop("neighbors").join(build_edges(nodes, self.config).select("node_id", "neighbors"), "node_id").select(*nodes.columns)
-            self.storage.put(f"segments/{ref}", wired)
+            self.storage.put(f"segments/{ref}", build_nodes(nodes, self.config))
             stored = self.storage.get(f"segments/{ref}")
             count, last = stored.agg(F.count(F.lit(1)), F.max("node_id")).first()
             made = self._empty(self.config) | {
@@ -360,7 +380,9 @@ class VectorIndex:
         if self.config.quantizer and stats is None:
             raise StorageError("the quantizer is not trained: build first")
         fresh = self._encoded(rows, stats)
-        all_rows = self._nodes(m).withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
+        touched = F.broadcast(fresh.select("shard").distinct())  # at most one row a shard: the other shards are left alone
+        near = self._nodes(m).join(touched, "shard", "left_semi")
+        all_rows = near.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
         changed = link_new(all_rows, self.config, m["starts"]).persist()
         records, rewrites, tombstones = self._parts(m)
         new = changed.select("node_id", F.col("neighbors").alias("_new"))
@@ -396,7 +418,8 @@ class VectorIndex:
         lost = {r.node_id for r in gone.join(self.spark.createDataFrame([(n,) for n in sorted(mine)] or [(-1,)], "node_id bigint"), "node_id", "left_semi").collect()}
         if not lost:
             return m["starts"]
-        met = reachable(self._nodes(m), self.config, m["starts"], QueryBudget().max_visited)
+        hurt = [int(k) for k, s in m["starts"].items() if lost & {s["default"], *s["labeled"].values()}]
+        met = reachable(self._nodes(m).where(F.col("shard").isin(hurt)), self.config, m["starts"], QueryBudget().max_visited)
         left = met.join(gone, "node_id", "left_anti")
         first = lambda *by: Window.partitionBy(*by).orderBy("pos")
         default = {str(r.shard): r.node_id for r in left.withColumn("k", F.row_number().over(first("shard"))).where("k = 1").collect()}
@@ -468,6 +491,12 @@ class VectorIndex:
                 self.storage.drop(f"log/{name}")
         self.storage.set_state(state | {"first": at})
 
+    def recovered_high_water(self) -> int:
+        """The largest node id ever given out, from the tables instead of the manifest."""
+        m = self._pinned(None)
+        found = [t.agg(F.max("node_id")).first()[0] for t in (self._visible(m | {"delta": None}), self._parts(m)[0], self._parts(m)[2])]
+        return max((x for x in found if x is not None), default=0)
+
     def vacuum(self, retain: int = 2) -> None:
         """Drop all deltas but the newest ``retain`` and the current one; older snapshots expire."""
         current = self.storage.latest()["delta"]
@@ -477,6 +506,12 @@ class VectorIndex:
                 self.storage.drop(f"deltas/{ref}")
 
 
+def recall(hits: DataFrame, truth: DataFrame, k: int) -> float:
+    """Share of the true (query_id, node_id) pairs that were found."""
+    pairs = [df.select("query_id", "node_id").distinct() for df in (hits, truth)]
+    return pairs[0].join(pairs[1], ["query_id", "node_id"]).count() / max(1, truth.select("query_id").distinct().count() * k)
+
+
 def run_typed(df: DataFrame) -> list:
     """Collect, raising the typed error that a worker met."""
     try:
@@ -486,4 +521,4 @@ def run_typed(df: DataFrame) -> list:
         raise
 
 
-__all__ = ["FileStorage", "Snapshot", "VectorIndex", "numbered", "run_typed"]
+__all__ = ["FileStorage", "Snapshot", "VectorIndex", "numbered", "recall", "run_typed"]

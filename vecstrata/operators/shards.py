@@ -37,21 +37,18 @@ def graph_of(table: pa.Table, config: IndexConfig) -> Graph:
     return Graph(config, column("node_id").to_numpy(), column("external_id").to_numpy(), routing, full, labels, neighbors)
 
 
-def _neighbors_table(graph: Graph, shard: int) -> pa.Table:
-    """Node ids with neighbour lists given by position turned into ids."""
-    lists = [graph.ids[x].tolist() if len(x) else [] for x in graph.neighbors]
-    return pa.table({"node_id": pa.array(graph.ids, pa.int64()), "neighbors": pa.array(lists, pa.list_(pa.int64())), "shard": pa.array([shard] * len(lists), pa.int32())})
-
-
-def build_edges(nodes: DataFrame, config: IndexConfig) -> DataFrame:
-    """(node_id, neighbors, shard): the wired graph of each shard."""
+def build_nodes(nodes: DataFrame, config: IndexConfig) -> DataFrame:
+    """The node rows with the neighbour lists of each shard's wired graph; one shuffle, by shard."""
 
     def build(key, table):
+        table = table.sort_by("node_id").combine_chunks()
         graph = graph_of(table, config)
         graph.build()
-        return _neighbors_table(graph, key[0].as_py())
+        lists = [graph.ids[x].tolist() if len(x) else [] for x in graph.neighbors]
+        at = table.schema.get_field_index("neighbors")
+        return table.set_column(at, "neighbors", pa.array(lists, pa.list_(pa.int64())))
 
-    return nodes.groupBy("shard").applyInArrow(build, "node_id bigint, neighbors array<bigint>, shard int")
+    return nodes.groupBy("shard").applyInArrow(build, nodes.schema)
 
 
 def starts_for(starts: dict, wanted) -> list[int]:
