@@ -223,14 +223,25 @@ def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- graphs ------------------------------------------------------------------
 
 
+#: Indexes that queries of one session have built, the last two of them.
+_kept: dict[tuple, VectorIndex] = {}
+
+
 def _built(spark: SparkSession, sf_dir: str, **config) -> tuple[VectorIndex, DataFrame, int]:
-    """An index over all rows, in memory, the queries, and the number of rows."""
+    """An index over all rows, in memory, the queries, and the number of rows; queries that need the same index share it."""
     e = _embeddings(spark, sf_dir)
-    labels = {"labels": F.array(F.col("label").cast("smallint"))} if config.get("has_labels") else {}
-    rows = e.select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("vector"), *[c.alias(n) for n, c in labels.items()])
-    index = VectorIndex.create(spark, "memory:", IndexConfig(64, **BUILD | config))
-    index.bulk_build(rows)
-    return index, _asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.count()
+    key = spark.sparkContext.applicationId, sf_dir, IndexConfig(64, **BUILD | config)
+    if key not in _kept:
+        labels = {"labels": F.array(F.col("label").cast("smallint"))} if config.get("has_labels") else {}
+        rows = e.select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("vector"), *[c.alias(n) for n, c in labels.items()])
+        while len(_kept) > 1:
+            old = next(iter(_kept))
+            index = _kept.pop(old)
+            if old[0] == key[0]:
+                index.close()
+        _kept[key] = VectorIndex.create(spark, "memory:", key[2])
+        _kept[key].bulk_build(rows)
+    return _kept[key], _asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.count()
 
 
 def _budget(n: int) -> QueryBudget:

@@ -84,7 +84,12 @@ class MemoryStorage:
         self.kept = dict(state)
 
     def close(self) -> None:
+        """A storage without a name cannot be opened again, so its tables go."""
         self.open = False
+        if not self.name:
+            for df in self.tables.values():
+                df.unpersist()
+            self.tables.clear()
 
 
 class FileStorage:
