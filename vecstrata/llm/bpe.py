@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 END = "</w>"
 #: Runs of text and pairs of tokens remembered by a worker; the memory is emptied when full.
-REMEMBER_RUNS, REMEMBER_PAIRS = 400_000, 1_000_000
+REMEMBER_RUNS, REMEMBER_PAIRS = 150_000, 300_000
 #: Bytes of text whose results leave a worker together.
 FLUSH = 4 << 20
 NO_MERGE = (1 << 60, 0)
@@ -223,6 +223,11 @@ class TrieEncoder:
                 self.ids[run] = b"".join([known[w][0] for w in words])
                 self.text[run] = b" ".join([known[w][1] for w in words])
 
+    def forget(self) -> None:
+        """Empty the memory of runs; workers serve other queries between tasks."""
+        self.ids.clear()
+        self.text.clear()
+
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids as little-endian 32-bit numbers and the text decoded from them, in UTF-8."""
         parts: list[list[list[str] | str]] = []
@@ -272,6 +277,7 @@ def _encode_batches(path: str):
                     names=["doc_id", "ids", "decoded"],
                 )
                 at += len(mine)
+        e.forget()
 
     return run
 

@@ -12,8 +12,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of text handled together, more only for a single longer text.
-CHUNK = 1 << 21
+#: Bytes of text handled together; a longer text is hashed in pieces of this size, cut between words.
+CHUNK = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -51,9 +51,17 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = IN_WORD[joined]
     turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = turns[::2], turns[1::2]
-    up, down = _powers_to(len(joined) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((LOWER[joined].astype(np.uint64) + np.uint64(1)) * up[: len(joined)], dtype=np.uint64)))
-    h = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    h = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK)))
+        first, last = starts[at], ends[end - 1]
+        up, down = _powers_to(int(last - first) + 1)
+        sums = np.zeros(int(last - first) + 1, np.uint64)
+        np.cumsum((LOWER[joined[first:last]].astype(np.uint64) + np.uint64(1)) * up[: last - first], out=sums[1:])
+        s, e = starts[at:end] - first, ends[at:end] - first
+        h[at:end] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = end
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return h, np.searchsorted(starts, bounds)
 
