@@ -73,6 +73,15 @@ def test_word_hashes():
     assert words[0] == words[2] and words[3] == words[0][::-1] and words[1] == [] and len(set(words[4])) == 3
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    from vecstrata.llm import words
+
+    texts = [b"some words, of " * 40 + b"x" * 50, b"", b"and others"]
+    whole = hashed_words(texts)
+    monkeypatch.setattr(words, "CHUNK", 8)
+    assert (hashed_words(texts)[0] == whole[0]).all() and (hashed_words(texts)[1] == whole[1]).all()
+
+
 def plain_loss(texts, wanted, asked, buckets, bigram=0.6, add=0.5):
     """Word bigrams counted in dictionaries: losses per token of target and background."""
     import re
