@@ -227,10 +227,19 @@ class LatentIndex:
             whole = words.tolist()
             found = any(region[k : k + size] == whole for k in range(len(region) - size + 1))
             return float(found), found
-        share = common(known, mask, size) / size
-        answer = self.items.answers[item]
-        found = common(known, self.answer_masks[item], len(answer)) >= ANSWER * len(answer)
-        return (share, found) if share >= SURE or share >= PARAPHRASE and found else (0.0, False)
+        if common(known, mask, size) < PARAPHRASE * size:
+            return 0.0, False
+        # the region is wider than the item; what counts is the closest stretch of about its length
+        answer, wide, best = self.items.answers[item], size * 3 // 2 + 2, (0.0, False)
+        for at in range(0, max(1, len(region) - wide + size // 4 + 1), max(1, size // 4)):
+            part = region[at : at + wide]
+            share = common(part, mask, size) / size
+            if share < PARAPHRASE:
+                continue
+            found = common(part, self.answer_masks[item], len(answer)) >= ANSWER * len(answer)
+            if share >= SURE or found:
+                best = max(best, (share, found))
+        return best
 
 
 def common(region: list[int], mask: dict[int, int], size: int) -> int:
