@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 
 from .words import chunks, hashed_words
 
-HALF, RANK, SEED = 32, 128, 7
-COSINE, SURE, PARAPHRASE, ANSWER, SHORT = 0.42, 0.65, 0.5, 0.8, 8
+HALF, RANK, SEED = 32, 96, 7
+COSINE, SURE, PARAPHRASE, ANSWER, SHORT = 0.45, 0.65, 0.5, 0.8, 8
 #: Words of an item that one query vector stands for, at most; longer items have several.
 SEGMENT = 64
 BLOCK_BYTES = 4 << 20
 #: Terms of the space summed in one row, and matrix rows held at a time.
-TERMS, STEP = 64, 20_000
+TERMS, STEP = 64, 1_500
 
 
 class Items:
