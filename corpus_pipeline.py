@@ -17,7 +17,7 @@ from vecstrata.llm.exact_dedup import drop_exact_copies
 from vecstrata.llm.quality import keep_good
 from vecstrata.llm.queries import word_vocabulary
 from vecstrata.llm.scratch import fresh_folder, table
-from vecstrata.llm.simhash import drop_near_copies
+from vecstrata.llm.similar import drop_similar
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
+    return drop_similar(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

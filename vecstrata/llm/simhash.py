@@ -159,7 +159,25 @@ def _forest(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, n
     return order[np.array(out_i, np.int64)], order[np.array(out_j, np.int64)]
 
 
-def _link_batches(most: int):
+def _all_pairs(group: np.ndarray, fp: np.ndarray, component: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all near pairs inside each group that are not of one component; groups stand together."""
+    change = np.flatnonzero(np.diff(group, prepend=-1))
+    mixed = np.logical_or.reduceat(component != np.repeat(component[change], np.diff(change, append=len(group))), change)
+    live, out_i, out_j, gap = np.flatnonzero(np.repeat(mixed, np.diff(change, append=len(group)))), [], [], 0
+    while len(live):
+        gap += 1
+        live = live[live + gap < len(group)]
+        live = live[group[live] == group[live + gap]]
+        keep = (component[live] != component[live + gap]) & (_apart(fp[live], fp[live + gap]) <= most)
+        out_i.append(live[keep])
+        out_j.append(live[keep] + gap)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_i or none), np.concatenate(out_j or none)
+
+
+def link_batches(most: int, component: bool = False):
+    """Links of cells that stand together: a spanning forest of the near pairs, or all near pairs of different components."""
+
     def links(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
         t = pa.Table.from_batches(held).combine_chunks()
         cell, part = (t.column(k).to_numpy() for k in ("cell", "part"))
@@ -169,8 +187,8 @@ def _link_batches(most: int):
             return None, held
         group = np.zeros(end, np.int64)
         group[change[change < end]] = 1
-        rep = t.column("rep").to_numpy()[:end]
-        i, j = _forest(np.cumsum(group), t.column("fp").to_numpy()[:end].view(np.uint64), most)
+        group, rep, fp = np.cumsum(group), t.column("rep").to_numpy()[:end], t.column("fp").to_numpy()[:end].view(np.uint64)
+        i, j = _all_pairs(group, fp, t.column("component").to_numpy()[:end], most) if component else _forest(group, fp, most)
         made = pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
         return made, t.slice(end).to_batches()
 
@@ -188,9 +206,9 @@ def _link_batches(most: int):
     return run
 
 
-def near_links(rows: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b): links between the ``rep`` of distinct fingerprints ``rows(fp, rep)`` that span all pairs within ``most`` bits."""
-    cells = _cells(rows, blocks_for(rows.count(), most), most)
+def dealt(cells: DataFrame) -> DataFrame:
+    """``cells(cell, fp, rep, ...)`` with a column part, rows of a (cell, part) together; cells over ``CELL`` rows as pairs of chunks."""
+    columns = cells.columns
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
     sizes = settle(sizes.select(F.col("cell").alias("big"), F.ceil(F.col("n") / (CELL // 2)).cast("int").alias("chunks")))
     cells = cells.withColumn("part", F.lit(0).cast("bigint"))
@@ -198,10 +216,15 @@ def near_links(rows: DataFrame, most: int = 3) -> DataFrame:
         mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(k, mine) * F.lit(1 << 31).cast("bigint") + F.greatest(k, mine))
         cells = cells.join(sizes, F.col("cell") == F.col("big"), "left").select(
-            "cell", "fp", "rep", F.explode(F.when(F.col("big").isNull(), F.array("part")).otherwise(pair)).alias("part")
+            *columns, F.explode(F.when(F.col("big").isNull(), F.array("part")).otherwise(pair)).alias("part")
         )
-    dealt = cells.repartition(F.col("cell"), F.col("part")).sortWithinPartitions("cell", "part")
-    return dealt.mapInArrow(_link_batches(most), "a bigint, b bigint")
+    return cells.repartition(F.col("cell"), F.col("part")).sortWithinPartitions("cell", "part")
+
+
+def near_links(rows: DataFrame, most: int = 3) -> DataFrame:
+    """(a, b): links between the ``rep`` of distinct fingerprints ``rows(fp, rep)`` that span all pairs within ``most`` bits."""
+    cells = _cells(rows, blocks_for(rows.count(), most), most)
+    return dealt(cells).mapInArrow(link_batches(most), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:

@@ -20,6 +20,9 @@ LOWER[65:91] += 32
 IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = True
 IN_WORD[128:] = True
+#: Bytes that white space does not separate.
+NOT_BLANK = np.ones(256, bool)
+NOT_BLANK[[9, 10, 11, 12, 13, 32]] = False
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -43,12 +46,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[bytes], in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of the first word of each text and after the last)."""
     joined = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     if not len(joined):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    inside = IN_WORD[joined]
+    inside = in_word[joined]
     turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = turns[::2], turns[1::2]
     h = np.zeros(len(starts), np.uint64)
