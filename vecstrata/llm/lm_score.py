@@ -8,12 +8,12 @@ smoothing weighs the same in both (matched models).  The score of a document is
 its mean loss per token under the target model minus that under the background
 model: the lower, the more the document is like the target.
 
-All documents are counted and all are scored, whole.  A task sends the buckets
-that its n-grams fill with their counts, so what is gathered grows with the
-text; the sums of a block of buckets are formed in a stream.  The number of
-buckets grows with the corpus, one for each 64 bytes of text, up to
-``most_buckets``; the model is four tables of one byte a bucket, the logarithm
-of the count in eighths of a bit, and that bounds the broadcast.
+All documents are counted and all are scored, whole, with exact counts of the
+64-bit hashes of words and pairs; nothing is broadcast.  Documents are dealt out
+to batches of some ``BATCH`` bytes of text.  A batch sends its distinct n-grams
+with their counts to the slots, ranges of the hashes, whose number grows with
+the corpus.  A slot sums the counts of all batches and answers each batch, in
+the order of its n-grams; the batch then scores its documents.
 
 Defined cases: null and empty texts have no tokens and null losses; a document
 named twice in the targets counts once; target ids without a document or null
@@ -31,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import power_of_two
+from .scratch import power_of_two, settle
 from .words import chunks, hashed_words, mixed
 
-LEAST_BUCKETS, MOST_BUCKETS, BYTES_A_BUCKET = 1 << 20, 1 << 24, 64
+#: Words that unigram smoothing allows for: one for each so many bytes of text, and at least.
+LEAST_BUCKETS, BYTES_A_BUCKET = 1 << 20, 64
+#: Bytes of text that a batch and a slot stand for, and least number of slots.
+BATCH, SLOT, LEAST_SLOTS = 1 << 23, 1 << 25, 256
 BLOCK = 1 << 16
 #: Bucket numbers that a task holds before it sums them up.
 HELD = 8_000_000
@@ -158,27 +161,121 @@ def count_models(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str
     return models
 
 
-def _score_batches(shared):
+def _ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the sentence start, the words and the pairs, in turn; bounds of the texts in words; which texts have words)."""
+    h, bounds = hashed_words(texts)
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    some = bounds[:-1] < bounds[1:]
+    before[bounds[:-1][some]] = START
+    return np.concatenate(([START], h, mixed(before * np.uint64(3) + h))), bounds, some
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[dict]]:
+    """The rows of each value of a column, of rows that stand together by it."""
+    held: list[dict] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if held and held[0][b.schema.names[column]] != r[b.schema.names[column]]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return x.astype("<u1" if x.max() < 256 else "<u8").tobytes()
+
+
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, "<u1" if len(x) == n else "<u8").astype(np.int64)
+
+
+ASK = "slot bigint, batch bigint, keys binary, every binary, wanted binary, words bigint, words_wanted bigint"
+
+
+def _ask_batches(slots: int):
+    """The distinct n-grams of each batch, by slot, with their counts in all texts and in target texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            made = [model.losses(texts) for texts in chunks(t.as_py() for t in b.column(1))]
-            n = np.concatenate([x[0] for x in made]) if made else np.zeros(0, np.int64)
-            loss = np.concatenate([x[1] for x in made], 1) if made else np.zeros((2, 0))
-            columns = [b.column(0), pa.array(n, pa.int64()), *(pa.array(x, from_pandas=True) for x in (loss[0], loss[1], loss[0] - loss[1]))]
+        for rows in _runs(batches, 0):
+            targets = {r["doc_id"] for r in rows if r["target"]}
+            docs = [r for r in rows if not r["target"]]
+            if not docs:
+                continue
+            keys, bounds, some = _ngrams([r["text"] or b"" for r in docs])
+            chosen = np.array([r["doc_id"] in targets for r in docs])
+            found, at = np.unique(keys, return_inverse=True)
+            tokens = np.repeat(chosen, np.diff(bounds))
+            every = np.bincount(at[1:], minlength=len(found))
+            wanted = np.bincount(at[1:][np.concatenate((tokens, tokens))], minlength=len(found))
+            every[at[0]] += some.sum()
+            wanted[at[0]] += (some & chosen).sum()
+            slot = (found >> np.uint64(40)) * np.uint64(slots) >> np.uint64(24)
+            cuts = np.flatnonzero(np.diff(slot, prepend=np.uint64(1 << 63), append=np.uint64(1 << 63)))
+            out = []
+            for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                sums = (int(len(tokens) + some.sum()), int(tokens.sum() + (some & chosen).sum())) if not k else (0, 0)
+                out.append((int(slot[x]), rows[0]["batch"], found[x:y].tobytes(), _packed(every[x:y]), _packed(wanted[x:y]), *sums))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in ASK.split(", ")])
+
+    return run
+
+
+def _answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the sums of all batches in place of each one's counts, without the keys."""
+    for rows in _runs(batches, 0):
+        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([_unpacked(r[k], len(x)) for r, x in zip(rows, keys, strict=True)])).astype(np.int64)[at] for k in ("every", "wanted")]
+        ends = np.cumsum([len(x) for x in keys])
+        for r, x, end in zip(rows, keys, ends, strict=True):
+            made = [_packed(s[end - len(x) : end]) for s in sums]
+            columns = [pa.array([r[k]], pa.int64()) for k in ("slot", "batch")] + [pa.array([v], pa.binary()) for v in made] + [pa.array([r[k]], pa.int64()) for k in ("words", "words_wanted")] + [pa.array([len(x)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "batch", "every", "wanted", "words", "words_wanted", "n"])
+
+
+def _score_batches(every: int, wanted: int, places: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 0):
+            docs, parts = [r for r in rows if r["slot"] < 0], [r for r in rows if r["slot"] >= 0]
+            keys, bounds, some = _ngrams([r["text"] or b"" for r in docs])
+            _, at = np.unique(keys, return_inverse=True)
+            word, pair = at[1 : 1 + bounds[-1]], at[1 + bounds[-1] :]
+            context = np.concatenate((at[:1], word[:-1]))[: len(word)]
+            context[bounds[:-1][some]] = at[0]
+            n, loss = np.diff(bounds), np.full((2, len(docs)), np.nan)
+            counts = {k: np.concatenate([_unpacked(r[k], r["n"]) for r in parts]).astype(float) for k in ("every", "wanted")}
+            whole = counts["every"], every, wanted / max(every, 1)
+            for k, (c, total, scale) in enumerate(((counts["wanted"], wanted, 1.0) if wanted else (counts["every"], every, 1.0), whole if wanted else (counts["every"], every, 1.0))):
+                p = BIGRAM * c[pair] / np.maximum(c[context], 1)
+                p += (1 - BIGRAM) * (c[word] * scale + ADD) / (total * scale + ADD * places)
+                if some.any():
+                    loss[k, some] = np.add.reduceat(-np.log(p), bounds[:-1][some]) / n[some]
+            columns = [pa.array([r["doc_id"] for r in docs], pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, from_pandas=True) for x in (loss[0], loss[1], loss[0] - loss[1]))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return run
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_buckets: int = MOST_BUCKETS) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 
     ``targets`` holds the target documents' ids in its first column.
-    ``most_buckets`` is a power of two; it bounds the model, four bytes a bucket.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first().n or 0
-    buckets = power_of_two(size / BYTES_A_BUCKET, min(LEAST_BUCKETS, most_buckets), most_buckets)
-    model = docs.sparkSession.sparkContext.broadcast(count_models(docs, targets, id_col, text_col, buckets))
+    places = power_of_two(size / BYTES_A_BUCKET, LEAST_BUCKETS, 1 << 62)
+    count, slots = int(size // BATCH) + 1, max(LEAST_SLOTS, int(size // SLOT))
+    batch = lambda key: F.pmod(F.xxhash64(key), F.lit(count)).alias("batch")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_score_batches(model), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    rows = rows.select(F.when(F.col("doc_id").isNull(), batch("text")).otherwise(batch("doc_id")).alias("batch"), "doc_id", "text")
+    chosen = targets.select(F.col(targets.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null")
+    both = rows.withColumn("target", F.lit(False)).unionByName(chosen.select(batch("doc_id"), "doc_id", F.lit(None).cast("binary").alias("text"), F.lit(True).alias("target")))
+    asked = both.repartition("batch").sortWithinPartitions("batch").mapInArrow(_ask_batches(slots), ASK)
+    answered = asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(_answer_batches, "slot bigint, batch bigint, every binary, wanted binary, words bigint, words_wanted bigint, n bigint")
+    answered = settle(answered)
+    total = answered.agg(F.sum("words").alias("every"), F.sum("words_wanted").alias("wanted")).first()
+    mine = rows.select("batch", F.lit(-1).cast("bigint").alias("slot"), "doc_id", "text")
+    joined = mine.unionByName(answered.select("batch", "slot", "every", "wanted", "n"), allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "slot")
+    return joined.mapInArrow(_score_batches(total.every or 0, total.wanted or 0, places), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
