@@ -1,16 +1,19 @@
 """License scan by conditional compression.
 
 Lines with a license cue, and the paragraphs around them, are candidate blocks.
-Each block is compressed alone and with every license template as a raw
-zstandard dictionary; the share of bytes that a template saves says how much of
-the block it explains, and ranks the templates.  The best ones are confirmed by
-the exact differences in wording: the words of the template that the block
-lacks and the words that it adds in between, where placeholders may stand for
-versions, years and names.  A block is a hit if the differences are at most
-``DIFFERENT`` of the template's words and every key word is there.
+Every template of whose words the block has enough is compared with the stretches
+of the block that start with one of its first words, by the exact differences in
+wording: the words of the template that the stretch lacks and the words that it
+adds in between, where placeholders may stand for versions, years and names.  A
+stretch is a hit if the differences are at most ``DIFFERENT`` of the template's
+words and every key word is there; a block has all its hits that do not overlap.
+Each hit's block is compressed alone and with the license template as a raw
+zstandard dictionary; the share of bytes saved says how much of the block the
+template explains.  It is reported and decides nothing, since it falls with the
+other text in the block.
 
 Defined cases: null and empty texts have no hits; texts of any length are read
-whole; templates that save equally are ranked by name; rows with null ids are
+whole; of overlapping hits the longest template stays; rows with null ids are
 reported under null; repeated rows are reported each; an empty table gives no
 rows; extra columns are not read.
 """
@@ -25,8 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Least share of bytes saved, best templates confirmed, and share of a template's words that may differ.
-SAVED, BEST, DIFFERENT = 0.15, 3, 0.15
+#: Share of a template's words that may differ.
+DIFFERENT = 0.15
 #: Longest block looked at as one; longer paragraphs are cut into overlapping ones.
 BLOCK_WORDS = 400
 
@@ -80,14 +83,13 @@ class Scanner:
         self.packers = {name: _compressor(text) for name, text in sorted(self.templates.items())}
         self.words = {name: WORD.findall(text.lower()) for name, text in self.templates.items()}
 
-    def savings(self, block: bytes) -> list[tuple[float, str]]:
-        """(share of bytes saved, template), the most first."""
-        alone = len(NOTHING.compress(block))
-        return sorted(((1 - len(p.compress(block)) / alone, name) for name, p in self.packers.items()), key=lambda x: (-x[0], x[1]))
+    def saved(self, block: bytes, name: str) -> float:
+        """Share of bytes that the template saves."""
+        return 1 - len(self.packers[name].compress(block)) / len(NOTHING.compress(block))
 
-    def differences(self, block: str, name: str) -> tuple[list[str], list[str]]:
-        """(words of the template that the block lacks, words that it adds in between), by a longest common subsequence."""
-        want, have = self.words[name], WORD.findall(block.lower())
+    def differences(self, have: list[str], name: str) -> tuple[list[str], list[str], int, int]:
+        """(words of the template that are lacking, words added in between, first matching word, word after the last), by a longest common subsequence."""
+        want, first, end = self.words[name], 0, 0
         same = lambda w, h: w == h or w == "{v}" and any(c.isdigit() for c in h) or w == "{v}" and want[0].startswith("spdx") or w == "{y}"
         best = [[0] * (len(have) + 1) for _ in range(len(want) + 1)]
         for i in range(len(want) - 1, -1, -1):
@@ -96,7 +98,8 @@ class Scanner:
         i, j, lacking, added, started = 0, 0, [], [], False
         while i < len(want) and j < len(have):
             if same(want[i], have[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-                i, j, started = i + 1, j + 1, True
+                first = first if started else j
+                i, j, started, end = i + 1, j + 1, True, j + 1
             elif best[i + 1][j] >= best[i][j + 1]:
                 lacking.append(want[i])
                 i += 1
@@ -104,19 +107,29 @@ class Scanner:
                 if started:
                     added.append(have[j])
                 j += 1
-        return lacking + want[i:], added
-
-    def confirm(self, block: bytes) -> tuple[str, float, list[str], list[str]] | None:
-        """(template, share saved, lacking, added) of the best template whose wording the block has."""
-        found = []
-        for saved, name in self.savings(block)[:BEST]:
-            if saved < SAVED:
+        return lacking + want[i:], added, first, end
+
+    def notices(self, block: bytes) -> Iterator[tuple[int, int, str, list[str], list[str]]]:
+        """(start and end in bytes, template, lacking, added) of each stretch that has a template's wording; they may overlap."""
+        text = block.decode("utf-8", "surrogateescape")
+        places = list(WORD.finditer(text))
+        have = [m[0].lower() for m in places]
+        bag = set(have)
+        for name, want in self.words.items():
+            most = DIFFERENT * len(want)
+            slack = max(most, 6 * ("{y}" in want))
+            fixed = [w for w in want if w[0] != "{"]
+            if sum(w not in bag for w in fixed) > most or not TELLING & set(fixed) <= bag:
                 continue
-            lacking, added = self.differences(block.decode("utf-8", "replace"), name)
-            most = DIFFERENT * len(self.words[name])
-            if not TELLING & {*lacking, *added} and len(lacking) <= most and len(added) <= max(most, 6 * ("{y}" in self.words[name])):
-                found.append((len(lacking) + len(added), -len(self.words[name]), -saved, name, saved, lacking, added))
-        return min(found)[3:] if found else None
+            firsts, size = set(want[: int(most) + 1]), len(want) + int(slack)
+            for j, h in enumerate(have):
+                stretch = have[j : j + size]
+                if h not in firsts and not firsts & {"{v}", "{y}"} or len(fixed) - len(set(fixed) & set(stretch)) - (len(fixed) - len(set(fixed))) > most:
+                    continue
+                lacking, added, first, end = self.differences(stretch, name)
+                if end and not TELLING & {*lacking, *added} and len(lacking) <= most and len(added) <= slack:
+                    cut = lambda k: len(text[:k].encode("utf-8", "surrogateescape"))
+                    yield cut(places[j + first].start()), cut(places[j + end - 1].end()), name, lacking, added
 
     def blocks(self, text: bytes) -> Iterator[tuple[int, bytes]]:
         """(byte offset, block): paragraphs with a cue, and where they have several lines or sentences also those with a cue."""
@@ -145,14 +158,13 @@ class Scanner:
         hits = []
         if text and CUE.search(text):
             for at, block in self.blocks(text):
-                if (got := self.confirm(block)) is not None:
-                    name, saved, lacking, added = got
-                    hits.append((-len(self.words[name]), len(lacking) + len(added), len(block), at, at + len(block), name, saved, " ".join(lacking), " ".join(added)))
+                for start, end, name, lacking, added in self.notices(block):
+                    hits.append((-len(self.words[name]), len(lacking) + len(added), len(block), at + start, at + end, at, block, name, lacking, added))
         kept: list[tuple] = []
         for h in sorted(hits):
-            if all(h[4] <= k[0] or h[3] >= k[1] for k in kept):
-                kept.append(h[3:])
-        return sorted(kept)
+            if all(h[4] <= k[3] or h[3] >= k[4] for k in kept):
+                kept.append(h)
+        return sorted((at, at + len(block), name, self.saved(block, name), " ".join(lacking), " ".join(added)) for *_, at, block, name, lacking, added in kept)
 
 
 HIT = "doc_id bigint, start bigint, end bigint, license string, saved double, lacking string, added string"
