@@ -1,6 +1,8 @@
 """The catalogue of queries over ``embeddings`` and the SQL that gives the same rows.
 
-Queries are the rows with ``vec_id < 10``.  Versioned tables are derived from
+Queries are the rows with ``vec_id < 10``; each search is also there as
+``NAME_every_20th``, asked for every row whose id is divisible by 20, and
+``node_reads_all`` and ``streaming_ingest_all`` cover the whole table.  Versioned tables are derived from
 ``embeddings`` by predicates, the same on both sides (see FIXTURES.md, part C).
 Distances are rounded to six decimals: the engine and the SQL add up doubles in
 different orders.
@@ -9,6 +11,7 @@ different orders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,9 @@ from .operators.shards import reachable_by_joins
 from .plans import exact_topk, fold_mutations, node_reads, rescore, two_phase_topk, visible_nodes
 
 K, QUERIES = 10, 10
+EVERY_20TH = "vec_id % 20 = 0"
+#: The rows that searches ask for.
+_asking = ContextVar("asking", default=f"vec_id < {QUERIES}")
 BUILD = {"max_neighbors": 24, "build_search_list_size": 64}
 
 
@@ -30,7 +36,20 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(e: DataFrame) -> DataFrame:
-    return e.where(F.col("vec_id") < QUERIES)
+    return e.where(_asking.get())
+
+
+def _every_20th(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The same search, asked for every row whose id is divisible by 20."""
+
+    def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+        old = _asking.set(EVERY_20TH)
+        try:
+            return run(spark, sf_dir)
+        finally:
+            _asking.reset(old)
+
+    return wide
 
 
 def _shown(hits: DataFrame, id_col: str = "id") -> DataFrame:
@@ -106,10 +125,10 @@ def sbq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _words(e)
     truth = exact_topk(e, _asked(e), K).select("query_id", "id")
     cheap = exact_topk(w, _asked(w), 400, "hamming", vector_col="routing", query_col="routing")
-    found = None
+    asked, found = _asked(e).count(), None
     for size in (50, 100, 200, 400):
         hits = rescore(cheap.where(F.col("rank") <= size), e, _asked(e), K, "l2", "vec_id", "embedding", "vec_id", "embedding")
-        part = truth.join(hits, ["query_id", "id"]).agg(F.round(F.count(F.lit(1)) / (K * QUERIES), 6).alias("recall")).select(F.lit(size).cast("bigint").alias("list_size"), "recall")
+        part = truth.join(hits, ["query_id", "id"]).agg(F.round(F.count(F.lit(1)) / (K * asked), 6).alias("recall")).select(F.lit(size).cast("bigint").alias("list_size"), "recall")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -155,6 +174,13 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_reads(asked, _visible(e), _tombstones(e), EPOCH).select("pos", "node_id", "status", "external_id")
 
 
+def reads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of every node id of the table, and of 40 ids past it."""
+    e = _embeddings(spark, sf_dir)
+    asked = spark.range(0, e.count() + 40).select(F.col("id").alias("pos"), (F.col("id") + 1).alias("node_id"))
+    return node_reads(asked, _visible(e), _tombstones(e), EPOCH).select("pos", "node_id", "status", "external_id")
+
+
 def _topk_visible(e: DataFrame, rows: DataFrame) -> DataFrame:
     q = _asked(e).select("vec_id", F.col("embedding").alias("q"))
     return exact_topk(rows, q, K, "l2", "node_id", "v", "vec_id", "q").select("query_id", "rank", F.col("id").alias("node_id"), F.round("distance", 6).alias("distance"))
@@ -343,8 +369,8 @@ def budget_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "case string, code string")
 
 
-def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of inserts and a delete, taken in by a stream; what is visible after it."""
+def _ingested(spark: SparkSession, log: DataFrame) -> DataFrame:
+    """What is visible after a stream has taken in a log."""
     from .streaming import ingest, mutation_stream
 
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -354,16 +380,30 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    e = _embeddings(spark, sf_dir).where("vec_id < 60")
     index = VectorIndex.create(spark, "memory:", IndexConfig(64, max_neighbors=8, build_search_list_size=16))
+    log.coalesce(1).write.parquet(f"{folder}/log")
+    ingest(index, mutation_stream(spark, f"{folder}/log"), f"{folder}/checkpoint").awaitTermination()
+    return index.nodes().select("node_id", "external_id")
+
+
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of inserts and a delete, taken in by a stream; what is visible after it."""
+    e = _embeddings(spark, sf_dir).where("vec_id < 60")
     op = F.when(F.col("vec_id") >= 50, "delete").otherwise("insert")
     log = e.select(
         F.col("vec_id").alias("log_offset"), op.alias("op"), F.when(F.col("vec_id") >= 50, F.col("vec_id") - 49).otherwise(F.col("vec_id") + 1).alias("node_id"),
         F.when(F.col("vec_id") >= 50, F.col("vec_id") - 50).otherwise(F.col("vec_id")).alias("external_id"), F.col("embedding").alias("full_vector"), F.array().cast("array<smallint>").alias("labels"),
     )
-    log.coalesce(1).write.parquet(f"{folder}/log")
-    ingest(index, mutation_stream(spark, f"{folder}/log"), f"{folder}/checkpoint").awaitTermination()
-    return index.nodes().select("node_id", "external_id")
+    return _ingested(spark, log)
+
+
+def streaming_ingest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that inserts the whole table and then deletes every row whose id is divisible by 20."""
+    e = _embeddings(spark, sf_dir)
+    rows = lambda e, op, after: e.select(
+        (F.col("vec_id") + after).alias("log_offset"), F.lit(op).alias("op"), (F.col("vec_id") + 1).alias("node_id"), F.col("vec_id").alias("external_id"), F.col("embedding").alias("full_vector"), F.array().cast("array<smallint>").alias("labels")
+    )
+    return _ingested(spark, rows(e, "insert", 0).unionByName(rows(e.where(EVERY_20TH), "delete", e.agg(F.max("vec_id")).first()[0] + 1)))
 
 
 # -- SQL -----------------------------------------------------------------------
@@ -493,10 +533,16 @@ select * from (values ('max_visited', 'BUDGET_EXCEEDED'), ('max_candidates', 'BU
     "streaming_ingest": "select vec_id + 1 as node_id, vec_id as external_id from embeddings where vec_id between 10 and 49",
 }
 SQL["graph_cosine_walk"] = SQL["topk_cosine"]
+#: The searches, which are also there for every row whose id is divisible by 20.
+SEARCHES = [name for name, sql in SQL.items() if f"q.vec_id < {QUERIES}" in sql]
+SQL |= {f"{name}_every_20th": SQL[name].replace(f"q.vec_id < {QUERIES}", f"q.{EVERY_20TH}") for name in SEARCHES}
+SQL["sbq_recall_every_20th"] = SQL["sbq_recall_every_20th"].replace(f"/ {float(K * QUERIES)}", f"/ ({float(K)} * (select count(*) from embeddings where {EVERY_20TH}))")
+SQL["node_reads_all"] = SQL["node_reads"].replace("select i as pos, i * 29 + 1 as node_id from range(40) t(i)", "select i as pos, i + 1 as node_id from range((select count(*) + 40 from embeddings)) t(i)")
+SQL["streaming_ingest_all"] = "select vec_id + 1 as node_id, vec_id as external_id from embeddings where vec_id % 20 <> 0"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "topk_l2": _exact("l2"),
         "topk_cosine": _exact("cosine"),
         "topk_inner_product": _exact("inner_product"),
@@ -536,4 +582,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_insert_delete": graph_insert_delete,
         "budget_violations": budget_violations,
         "streaming_ingest": streaming_ingest,
+        "node_reads_all": reads_all,
+        "streaming_ingest_all": streaming_ingest_all,
     }
+    return found | {f"{name}_every_20th": _every_20th(found[name]) for name in SEARCHES}
