@@ -12,8 +12,7 @@ from brute import common_length
 from vecstrata.llm import decontaminate as D
 from vecstrata.llm.html_extract import blocks, extract, main_text, minimum_cut, train
 from vecstrata.llm.licenses import TEMPLATES, Scanner, licenses
-from vecstrata.llm import lm_score
-from vecstrata.llm.lm_score import count_models, score
+from vecstrata.llm.lm_score import score
 from vecstrata.llm.quality import keep_good, judge
 from vecstrata.llm.quality import train as train_quality
 from vecstrata.llm.queries import queries
@@ -82,8 +81,8 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     assert (hashed_words(texts)[0] == whole[0]).all() and (hashed_words(texts)[1] == whole[1]).all()
 
 
-def plain_loss(texts, wanted, asked, buckets, bigram=0.6, add=0.5):
-    """Word bigrams counted in dictionaries: losses per token of target and background."""
+def plain_loss(texts, wanted, asked, bigram=0.6, add=0.5):
+    """Word bigrams counted in dictionaries over the vocabulary of all texts: losses per token of target and background."""
     import re
 
     cut = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
@@ -94,39 +93,17 @@ def plain_loss(texts, wanted, asked, buckets, bigram=0.6, add=0.5):
             words[k].update([None, *mine] if mine else [])
             pairs[k].update(zip([None, *mine], mine))
             total[k] += len(mine) + bool(mine)
-    scale, out = [1.0, total[0] / total[1]], []
+    scale, out, vocabulary = [1.0, total[0] / total[1]], [], len(words[1])  # the start sign is one of them
     for t in asked:
         mine, loss = cut(t), [0.0, 0.0]
         for pair in zip([None, *mine], mine):
             for k in range(2):
                 p = bigram * pairs[k][pair] / words[k][pair[0]] if words[k][pair[0]] else 0
-                loss[k] -= math.log(p + (1 - bigram) * (words[k][pair[1]] * scale[k] + add) / (total[k] * scale[k] + add * buckets))
+                loss[k] -= math.log(p + (1 - bigram) * (words[k][pair[1]] * scale[k] + add) / (total[k] * scale[k] + add * vocabulary))
         out.append((len(mine), [x / len(mine) for x in loss] if mine else None))
     return out
 
 
-def test_scores_match_plain_models(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "LEAST_BUCKETS", 1 << 24)  # so that few words share a bucket
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
-    good = spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 1").select("doc_id")
-    rows, ids = docs.collect(), {r.doc_id for r in good.collect()}
-    want = dict(zip([r.doc_id for r in rows], plain_loss([r.text for r in rows], [r.doc_id in ids for r in rows], [r.text for r in rows], 1 << 24), strict=True))
-    got = score(docs, good).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        n, loss = want[r.doc_id]
-        assert r.n_tokens == n and r.target_loss == pytest.approx(loss[0], abs=0.3) and r.background_loss == pytest.approx(loss[1], abs=0.15)
-        assert r.score == pytest.approx(r.target_loss - r.background_loss)
-
-
-def test_counts_are_summed_in_parts(spark, docs, monkeypatch):
-    target = spark.createDataFrame([(8,), (13,)], "doc_id bigint")
-    whole = count_models(docs, target, "doc_id", "text", 1 << 18)
-    monkeypatch.setattr(lm_score, "HELD", 3)
-    parts = count_models(docs, target, "doc_id", "text", 1 << 18)
-    assert (whole.tables == parts.tables).all() and (whole.total == parts.total).all() and whole.total[0] > 3000
-
-
 def test_target_texts_score_lower(spark):
     rows = [(k, " ".join(f"{'a' if k % 2 else 'b'}{(k * 7 + j) % 30}" for j in range(60))) for k in range(40)]
     got = {r.doc_id: r.score for r in score(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(k,) for k in range(1, 20, 2)], "doc_id bigint")).collect()}

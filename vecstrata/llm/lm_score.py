@@ -2,24 +2,34 @@
 
 The target model is counted over the target documents, the background model
 over all documents.  Both are bigram models interpolated with unigrams over one
-shared vocabulary, the words of the whole corpus, hashed into the same buckets;
-the background counts are scaled to the target's size, so that the same
-smoothing weighs the same in both (matched models).  The score of a document is
-its mean loss per token under the target model minus that under the background
-model: the lower, the more the document is like the target.
+shared vocabulary, the distinct words of the whole corpus and the sign for the
+start of a text; the background counts are scaled to the target's size, so that
+the same smoothing weighs the same in both (matched models).  The score of a
+document is its mean loss per token under the target model minus that under the
+background model: the lower, the more the document is like the target.
 
 All documents are counted and all are scored, whole, with exact counts of the
-64-bit hashes of words and pairs; nothing is broadcast.  Documents are dealt out
-to batches of some ``BATCH`` bytes of text.  A batch sends its distinct n-grams
-with their counts to the slots, ranges of the hashes, whose number grows with
-the corpus.  A slot sums the counts of all batches and answers each batch, in
-the order of its n-grams; the batch then scores its documents.
+63-bit hashes of words and pairs; nothing of them is broadcast or capped.  A
+batch are neighbouring rows of one file split, some ``BATCH`` bytes of text at
+most.  While the table is scanned, each batch sends its distinct n-grams with
+their counts to the slots, ranges of the hashes, whose number grows with the
+corpus.  A slot sums the counts of all batches and answers each batch, in the
+order of its n-grams.  The texts then meet their batch's answers, which is the
+only time that they are shuffled, and are scored.  A batch's name is made of
+its rows' places in the files, so a task that runs again makes the same
+batches; the number of answers is compared with the number of n-grams all the
+same.  An input that is not a scan of files is written to the shared folder
+first and read from there.
+
+Target ids are broadcast up to ``TARGETS`` of them and joined by a shuffle
+beyond; the result is the same.
 
 Defined cases: null and empty texts have no tokens and null losses; a document
 named twice in the targets counts once; target ids without a document or null
 ids are ignored; without any target text both models are the background's and
-all scores are zero; repeated rows are counted and reported each; an empty
-table gives no rows; extra columns are not read.
+all scores are zero; repeated rows are counted and reported each; a text of any
+length is one row of a batch; an empty table gives no rows; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -28,155 +38,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import power_of_two, settle
-from .words import chunks, hashed_words, mixed
+from .scratch import fresh_folder, settle
+from .words import hashed_words, mixed
 
-#: Words that unigram smoothing allows for: one for each so many bytes of text, and at least.
-LEAST_BUCKETS, BYTES_A_BUCKET = 1 << 20, 64
-#: Bytes of text that a batch and a slot stand for, and least number of slots.
-BATCH, SLOT, LEAST_SLOTS = 1 << 23, 1 << 25, 256
-BLOCK = 1 << 16
-#: Bucket numbers that a task holds before it sums them up.
-HELD = 8_000_000
+#: Bytes of text that a batch has at most and at least on average, and that a slot stands for; least number of slots.
+BATCH, LEAST_BATCH, SLOT, LEAST_SLOTS = 1 << 24, 1 << 20, 1 << 25, 64
+#: Target ids that are broadcast, at most (8 bytes each).
+TARGETS = 1 << 20
 #: Weight of the bigram estimate, and what is added to each unigram count.
 BIGRAM, ADD = 0.6, 0.5
 START = np.uint64(0x5BD1E995)
-#: Counts by their code, the logarithm of the count and one in eighths of a bit.
-COUNTS = (2.0 ** (np.arange(256) / 8) - 1).astype(np.float32)
+ONE, PAIR = np.uint64(1), np.uint64(1 << 63)
 
+ASK = "slot bigint, batch bigint, n bigint, keys binary, every binary, wanted binary, tokens bigint, tokens_wanted bigint"
+ANSWER = "slot bigint, batch bigint, n bigint, every binary, wanted binary, tokens bigint, tokens_wanted bigint, words bigint"
+SCORE = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
 
-def _grams(h: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each word, of the word before it, and of the pair."""
-    mask = np.uint64(buckets - 1)
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[bounds[:-1][bounds[:-1] < bounds[1:]]] = START
-    return h & mask, before & mask, mixed(before * np.uint64(3) + h) & mask
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(where, np.concatenate(counts), len(found)).astype(np.int64)
-
-
-def _count_batches(buckets: int):
-    """A task's counts: rows (block of a table, places in it, counts).  Tables: words and pairs, each of all and of the target."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        fresh: list[np.ndarray] = []
-
-        def fold() -> None:
-            found, n = np.unique(np.concatenate(fresh), return_counts=True)
-            keys[:], counts[:] = ([x] for x in _summed([*keys, found], [*counts, n]))
-            fresh.clear()
-
-        for b in batches:
-            wanted, at = b.column(1).to_numpy(zero_copy_only=False), 0
-            for texts in chunks(t.as_py() for t in b.column(0)):
-                h, bounds = hashed_words(texts)
-                word, _, pair = _grams(h, bounds, buckets)
-                chosen = np.repeat(wanted[at : at + len(texts)], np.diff(bounds))
-                starts = np.full(int((bounds[:-1] < bounds[1:]).sum()), START & np.uint64(buckets - 1))
-                started = np.flatnonzero(bounds[:-1] < bounds[1:])
-                size, two, three = np.uint64(buckets), np.uint64(2 * buckets), np.uint64(3 * buckets)
-                fresh += [word, word[chosen] + size, pair + two, pair[chosen] + three, starts, starts[wanted[at : at + len(texts)][started]] + size]
-                at += len(texts)
-                if sum(map(len, fresh)) > HELD:
-                    fold()
-        if fresh:
-            fold()
-        if keys:
-            block = keys[0] // np.uint64(BLOCK)
-            cuts = np.flatnonzero(np.diff(block, prepend=np.uint64(1 << 63), append=np.uint64(1 << 63)))
-            for k in range(0, len(cuts) - 1, 256):
-                part = list(zip(cuts[k : k + 256], cuts[k + 1 : k + 257], strict=False))
-                places = [(keys[0][x:y] % np.uint64(BLOCK)).astype("<u2").tobytes() for x, y in part]
-                sizes = [counts[0][x:y].astype("<u1" if counts[0][x:y].max() < 256 else "<u8").tobytes() for x, y in part]
-                numbers = pa.array([int(block[x]) for x, _ in part], pa.int64())
-                yield pa.RecordBatch.from_arrays([numbers, pa.array(places, pa.binary()), pa.array(sizes, pa.binary())], names=["block", "places", "counts"])
-
-    return run
+def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the start sign, the words and the pairs, in turn; bounds of the texts in words; which texts have words).
 
-
-def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, codes of the summed counts, their total)."""
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for block, places, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if block not in sums:
-                sums[block] = np.zeros(BLOCK, np.int64)
-            at = np.frombuffer(places, "<u2")
-            sums[block][at] += np.frombuffer(counts, "<u1" if len(counts) == len(at) else "<u8").astype(np.int64)
-    for block, x in sums.items():
-        codes = np.minimum(np.rint(8 * np.log2(1 + x.astype(float))), 255).astype(np.uint8).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([codes], pa.binary()), pa.array([int(x.sum())], pa.int64())], names=["block", "codes", "total"])
-
-
-class Models:
-    """Codes of both models' counts, by bucket, and their numbers of words."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.total = buckets, np.zeros(4)
-        self.tables = np.zeros((4, buckets), np.uint8)
-
-    def finish(self) -> None:
-        if not self.total[1]:
-            self.tables[1], self.tables[3] = self.tables[0], self.tables[2]
-            self.total[1] = self.total[0]
-        self.scale = self.total[1] / max(self.total[0], 1)
-
-    def losses(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of tokens, mean loss in nats under target and background) of each text."""
-        h, bounds = hashed_words(texts)
-        word, context, pair = _grams(h, bounds, self.buckets)
-        n, out = np.diff(bounds), np.full((2, len(texts)), np.nan)
-        some = n > 0
-        for k, (words, pairs, scale) in enumerate(((1, 3, 1.0), (0, 2, self.scale))):
-            p = BIGRAM * COUNTS[self.tables[pairs][pair]].astype(float) / np.maximum(COUNTS[self.tables[words][context]], 1e-9)
-            single = (COUNTS[self.tables[words][word]] * scale + ADD) / (self.total[words] * scale + ADD * self.buckets)
-            p = np.minimum(p, BIGRAM) + (1 - BIGRAM) * single
-            if some.any():
-                out[k, some] = np.add.reduceat(-np.log(p), bounds[:-1][some]) / n[some]
-        return n, out
-
-
-def count_models(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, buckets: int) -> Models:
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    chosen = targets.select(F.col(targets.columns[0]).cast("bigint").alias("of")).distinct()
-    flagged = rows.join(chosen.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("wanted"))
-    parts = flagged.mapInArrow(_count_batches(buckets), "block bigint, places binary, counts binary")
-    models = Models(buckets)
-    flat = models.tables.reshape(-1, BLOCK)
-    for r in parts.repartition("block").mapInArrow(_sum_batches, "block bigint, codes binary, total bigint").toLocalIterator():
-        flat[r.block] = np.frombuffer(r.codes, np.uint8)
-        models.total[r.block // (buckets // BLOCK)] += r.total
-    models.finish()
-    return models
-
-
-def _ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys of the sentence start, the words and the pairs, in turn; bounds of the texts in words; which texts have words)."""
+    Words have keys below ``PAIR``, pairs from there on.
+    """
     h, bounds = hashed_words(texts)
     before = np.empty_like(h)
     before[1:] = h[:-1]
     some = bounds[:-1] < bounds[1:]
     before[bounds[:-1][some]] = START
-    return np.concatenate(([START], h, mixed(before * np.uint64(3) + h))), bounds, some
+    return np.concatenate(([START >> ONE], h >> ONE, mixed(before * np.uint64(3) + h) >> ONE | PAIR)), bounds, some
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, as many as the largest needs, compressed."""
+    x = x.astype("<u8")
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[dict]]:
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], n).T
+    return out.reshape(-1).view("<u8")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
     """The rows of each value of a column, of rows that stand together by it."""
     held: list[dict] = []
     for b in batches:
         for r in b.to_pylist():
-            if held and held[0][b.schema.names[column]] != r[b.schema.names[column]]:
+            if held and held[0][column] != r[column]:
                 yield held
                 held = []
             held.append(r)
@@ -184,98 +98,105 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[dict]
         yield held
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return x.astype("<u1" if x.max() < 256 else "<u8").tobytes()
-
-
-def _unpacked(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(x, "<u1" if len(x) == n else "<u8").astype(np.int64)
-
-
-ASK = "slot bigint, batch bigint, keys binary, every binary, wanted binary, words bigint, words_wanted bigint"
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t], from_pandas=True) for c, (_, t) in zip(zip(*rows, strict=True), names, strict=True)], names=[n for n, _ in names])
 
 
 def _ask_batches(slots: int):
     """The distinct n-grams of each batch, by slot, with their counts in all texts and in target texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 0):
-            targets = {r["doc_id"] for r in rows if r["target"]}
-            docs = [r for r in rows if not r["target"]]
-            if not docs:
-                continue
-            keys, bounds, some = _ngrams([r["text"] or b"" for r in docs])
-            chosen = np.array([r["doc_id"] in targets for r in docs])
+        for rows in _runs(batches, "batch"):
+            keys, bounds, some = ngrams([r["text"] or b"" for r in rows])
+            chosen = np.array([r["wanted"] for r in rows])
             found, at = np.unique(keys, return_inverse=True)
             tokens = np.repeat(chosen, np.diff(bounds))
             every = np.bincount(at[1:], minlength=len(found))
             wanted = np.bincount(at[1:][np.concatenate((tokens, tokens))], minlength=len(found))
             every[at[0]] += some.sum()
             wanted[at[0]] += (some & chosen).sum()
+            sums = int(len(tokens) + some.sum()), int(tokens.sum() + (some & chosen).sum())
             slot = (found >> np.uint64(40)) * np.uint64(slots) >> np.uint64(24)
-            cuts = np.flatnonzero(np.diff(slot, prepend=np.uint64(1 << 63), append=np.uint64(1 << 63)))
+            cuts = np.flatnonzero(np.diff(slot, prepend=PAIR, append=PAIR))
             out = []
             for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                sums = (int(len(tokens) + some.sum()), int(tokens.sum() + (some & chosen).sum())) if not k else (0, 0)
-                out.append((int(slot[x]), rows[0]["batch"], found[x:y].tobytes(), _packed(every[x:y]), _packed(wanted[x:y]), *sums))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in ASK.split(", ")])
+                steps = np.diff(found[x:y], prepend=np.uint64(0))
+                out.append((int(slot[x]), rows[0]["batch"], int(y - x), packed(steps), packed(every[x:y]), packed(wanted[x:y]), *(sums if not k else (0, 0))))
+            yield _table(out, ASK)
 
     return run
 
 
 def _answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows with the sums of all batches in place of each one's counts, without the keys."""
-    for rows in _runs(batches, 0):
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([_unpacked(r[k], len(x)) for r, x in zip(rows, keys, strict=True)])).astype(np.int64)[at] for k in ("every", "wanted")]
-        ends = np.cumsum([len(x) for x in keys])
-        for r, x, end in zip(rows, keys, ends, strict=True):
-            made = [_packed(s[end - len(x) : end]) for s in sums]
-            columns = [pa.array([r[k]], pa.int64()) for k in ("slot", "batch")] + [pa.array([v], pa.binary()) for v in made] + [pa.array([r[k]], pa.int64()) for k in ("words", "words_wanted")] + [pa.array([len(x)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["slot", "batch", "every", "wanted", "words", "words_wanted", "n"])
-
-
-def _score_batches(every: int, wanted: int, places: int):
+    """The same rows with the sums over all batches in place of each one's counts, without the keys; ``words`` counts the slot's vocabulary."""
+    for rows in _runs(batches, "slot"):
+        keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["n"]), dtype=np.uint64) for r in rows])
+        found, at = np.unique(keys, return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([unpacked(r[k], r["n"]) for r in rows])).astype(np.int64)[at] for k in ("every", "wanted")]
+        words, end = int((found < PAIR).sum()), 0
+        out = []
+        for r in rows:
+            part = slice(end, end + r["n"])
+            out.append((r["slot"], r["batch"], r["n"], packed(sums[0][part]), packed(sums[1][part]), r["tokens"], r["tokens_wanted"], words))
+            words, end = 0, part.stop
+        yield _table(out, ANSWER)
+
+
+def _score_batches(every: int, wanted: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 0):
+        for rows in _runs(batches, "batch"):
             docs, parts = [r for r in rows if r["slot"] < 0], [r for r in rows if r["slot"] >= 0]
-            keys, bounds, some = _ngrams([r["text"] or b"" for r in docs])
-            _, at = np.unique(keys, return_inverse=True)
+            keys, bounds, some = ngrams([r["text"] or b"" for r in docs])
+            found, at = np.unique(keys, return_inverse=True)
+            if sum(r["n"] for r in parts) != len(found):
+                raise RuntimeError("the rows of a file split changed between two reads")
             word, pair = at[1 : 1 + bounds[-1]], at[1 + bounds[-1] :]
             context = np.concatenate((at[:1], word[:-1]))[: len(word)]
             context[bounds[:-1][some]] = at[0]
             n, loss = np.diff(bounds), np.full((2, len(docs)), np.nan)
-            counts = {k: np.concatenate([_unpacked(r[k], r["n"]) for r in parts]).astype(float) for k in ("every", "wanted")}
-            whole = counts["every"], every, wanted / max(every, 1)
-            for k, (c, total, scale) in enumerate(((counts["wanted"], wanted, 1.0) if wanted else (counts["every"], every, 1.0), whole if wanted else (counts["every"], every, 1.0))):
+            counts = [np.concatenate([unpacked(r[k], r["n"]) for r in parts]).astype(float) for k in ("wanted", "every")]
+            models = [(counts[0], wanted, 1.0), (counts[1], every, wanted / max(every, 1))] if wanted else [(counts[1], every, 1.0)] * 2
+            for k, (c, total, scale) in enumerate(models):
                 p = BIGRAM * c[pair] / np.maximum(c[context], 1)
-                p += (1 - BIGRAM) * (c[word] * scale + ADD) / (total * scale + ADD * places)
+                p += (1 - BIGRAM) * (c[word] * scale + ADD) / (total * scale + ADD * vocabulary)
                 if some.any():
                     loss[k, some] = np.add.reduceat(-np.log(p), bounds[:-1][some]) / n[some]
-            columns = [pa.array([r["doc_id"] for r in docs], pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, from_pandas=True) for x in (loss[0], loss[1], loss[0] - loss[1]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            yield _table(list(zip([r["doc_id"] for r in docs], n, loss[0], loss[1], loss[0] - loss[1], strict=True)), SCORE)
 
     return run
 
 
+def _flagged(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows`` with a column ``wanted``: whether the id is a target's."""
+    chosen = settle(targets.select(F.col(targets.columns[0]).cast("bigint").alias("of")).where("of is not null").distinct())
+    few = chosen.count() <= TARGETS
+    return rows.join(F.broadcast(chosen) if few else chosen.hint("merge"), F.col("doc_id") == F.col("of"), "left").withColumn("wanted", F.col("of").isNotNull()).drop("of")
+
+
 def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 
     ``targets`` holds the target documents' ids in its first column.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first().n or 0
-    places = power_of_two(size / BYTES_A_BUCKET, LEAST_BUCKETS, 1 << 62)
-    count, slots = int(size // BATCH) + 1, max(LEAST_SLOTS, int(size // SLOT))
-    batch = lambda key: F.pmod(F.xxhash64(key), F.lit(count)).alias("batch")
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.select(F.when(F.col("doc_id").isNull(), batch("text")).otherwise(batch("doc_id")).alias("batch"), "doc_id", "text")
-    chosen = targets.select(F.col(targets.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null")
-    both = rows.withColumn("target", F.lit(False)).unionByName(chosen.select(batch("doc_id"), "doc_id", F.lit(None).cast("binary").alias("text"), F.lit(True).alias("target")))
-    asked = both.repartition("batch").sortWithinPartitions("batch").mapInArrow(_ask_batches(slots), ASK)
-    answered = asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(_answer_batches, "slot bigint, batch bigint, every binary, wanted binary, words bigint, words_wanted bigint, n bigint")
-    answered = settle(answered)
-    total = answered.agg(F.sum("words").alias("every"), F.sum("words_wanted").alias("wanted")).first()
-    mine = rows.select("batch", F.lit(-1).cast("bigint").alias("slot"), "doc_id", "text")
-    joined = mine.unionByName(answered.select("batch", "slot", "every", "wanted", "n"), allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "slot")
-    return joined.mapInArrow(_score_batches(total.every or 0, total.wanted or 0, places), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    said = lambda df: df.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("file") == "").alias("loose")).first()
+    named = lambda df: df.select("*", F.input_file_name().alias("file"))
+    facts = said(named(rows))
+    if facts.loose:
+        folder = fresh_folder(spark, "lm")
+        rows.write.parquet(folder)
+        rows = spark.read.parquet(folder)
+    size = facts.bytes or 0
+    most = min(BATCH, max(LEAST_BATCH, size // 64))
+    run, slots = max(1, facts.rows * most // max(size, 1)), max(LEAST_SLOTS, size // SLOT)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    batched = rows.select(F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.floor(place / run)).alias("batch"), "doc_id", "text")
+    asked = _flagged(batched, targets).select("batch", "text", "wanted").mapInArrow(_ask_batches(slots), ASK)
+    answered = settle(asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(_answer_batches, ANSWER))
+    total = answered.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "tokens_wanted", "words")]).first()
+    mine = batched.select("batch", F.lit(-1).cast("bigint").alias("slot"), "doc_id", "text")
+    joined = mine.unionByName(answered.select("batch", "slot", "n", "every", "wanted"), allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "slot")
+    return joined.mapInArrow(_score_batches(total.tokens, total.tokens_wanted, total.words), SCORE)
