@@ -12,6 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that are broadcast, at most; more of them are joined by a shuffle.
+FEW = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +35,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Settled rows of a few numbers as a side of a join: broadcast up to ``most`` of them, else for a sorted merge."""
+    return F.broadcast(rows) if rows.count() <= (FEW if most is None else most) else rows.hint("merge")
+
+
 def fresh_folder(spark: SparkSession, kind: str) -> str:
     """A path of its own below the shared folder; the caller creates it."""
     return os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")

@@ -7,19 +7,19 @@ distance t differ by at most t in every coordinate, so a pair whose maximum
 coordinate difference is larger is discarded, and the survivors are verified on
 the fingerprints themselves.
 
-Two families of pivots are used.  The 64 bits are cut into blocks, and each
-block has the references that are one on a prefix of the block and zero
-elsewhere; successive coordinates of a block differ by +1 or -1 as a bit is
-unset or set, so these coordinates and the block's bits say the same and the
-bits stand for them.  A pair at distance t leaves all but t blocks alike, so it
-has equal coordinates on some set of (blocks - t) blocks.  Those sets name the
-table's cells, and only rows of a cell meet.  In a cell, rows are sorted by
-their distance to the first of 16 further, spread-out pivots and walked in
-windows of width t; the other 15 coordinates and then the verification cut what
-is left.  Of the pairs found only those that join two so far unjoined rows of
-the cell are emitted, a spanning forest, so a cell of G rows gives under G
-links.  Cells over ``CELL`` rows are dealt out as pairs of chunks to different
-tasks; nothing is capped.
+The first references are zero and, for each of the 32 pairs of neighbouring bits,
+the fingerprint that has just these two set.  Their distances say how many bits
+of each pair are set, (d(x, 0) + 2 - d(x, pair)) / 2, and one differing bit
+changes one of these 32 coordinates.  So two fingerprints within distance t that
+have their coordinates dealt into groups agree on all but t groups.  Each set of
+(groups - t) groups names the table's cells by its coordinates, and only rows of
+a cell meet; the more rows, the more groups (``groups_for``).  In a cell, rows
+are sorted by their distance to the first of 16 further, spread-out references
+and walked in windows of width t; the other 15 coordinates and then the
+verification cut what is left.  Of the pairs found only those that join two so
+far unjoined rows of the cell are emitted, a spanning forest, so a cell of G
+rows gives under G links.  Cells over ``CELL`` rows are dealt out as pairs of
+chunks to different tasks; nothing is capped.
 
 Defined cases: null and empty texts and texts of white space only have
 fingerprint zero and link like any other; texts with fewer words than a
@@ -36,11 +36,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import settle
+from .scratch import sent, settle
 
 SEED = 42
 #: Largest cell that one task compares; larger ones are dealt out in chunks of half.
@@ -82,23 +82,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(_fingerprint_batches(words), "doc_id bigint, fp bigint")
 
 
-def blocks_for(rows: int, most: int = 3) -> int:
-    """How many blocks keep a cell of evenly spread fingerprints at some hundred rows or fewer."""
-    blocks = most + 1
-    while rows >> (64 * (blocks - most) // blocks) > 256 and blocks < 2 * most + 4:
-        blocks += 1
-    return blocks
+def groups_for(rows: int, most: int = 3) -> int:
+    """How many groups of coordinates keep a cell of evenly spread fingerprints at some hundred rows or fewer."""
+    groups = most + 1
+    # two such fingerprints agree on a coordinate in 6 of 16 cases
+    while rows * (6 / 16) ** (32 * (groups - most) / groups) > 256 and groups < 2 * most + 4:
+        groups += 1
+    return groups
 
 
-def _cells(rows: DataFrame, blocks: int, most: int) -> DataFrame:
+def _signed(x: int) -> int:
+    return x - ((x >> 63) << 64)
+
+
+def coordinates(fp: Column) -> Column:
+    """How many bits of each pair are set, from the distances to zero and to the pair: 32 numbers of two bits."""
+    odd = F.lit(_signed(0x5555555555555555)).cast("bigint")
+    one, other = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
+    return one.bitwiseXOR(other).bitwiseOR(F.shiftleft(one.bitwiseAND(other), 1))
+
+
+def _cells(rows: DataFrame, groups: int, most: int) -> DataFrame:
     """A row for each cell a fingerprint lies in: (cell, fp, rep)."""
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    cuts = [2 * (32 * k // groups) for k in range(groups + 1)]
     keys = []
-    for at, chosen in enumerate(combinations(range(blocks), blocks - most)):
-        mask = sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in chosen)
-        mask -= (mask >> 63) << 64
-        keys.append(F.xxhash64(F.lit(at), F.col("fp").bitwiseAND(F.lit(mask).cast("bigint"))))
-    return rows.select(F.explode(F.array(*keys)).alias("cell"), "fp", "rep")
+    for at, chosen in enumerate(combinations(range(groups), groups - most)):
+        mask = _signed(sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in chosen))
+        keys.append(F.xxhash64(F.lit(at), F.col("row").bitwiseAND(F.lit(mask).cast("bigint"))))
+    return rows.withColumn("row", coordinates(F.col("fp"))).select(F.explode(F.array(*keys)).alias("cell"), "fp", "rep")
 
 
 def pivots(count: int = 16) -> np.ndarray:
@@ -223,7 +234,7 @@ def dealt(cells: DataFrame) -> DataFrame:
 
 def near_links(rows: DataFrame, most: int = 3) -> DataFrame:
     """(a, b): links between the ``rep`` of distinct fingerprints ``rows(fp, rep)`` that span all pairs within ``most`` bits."""
-    cells = _cells(rows, blocks_for(rows.count(), most), most)
+    cells = _cells(rows, groups_for(rows.count(), most), most)
     return dealt(cells).mapInArrow(link_batches(most), "a bigint, b bigint")
 
 
@@ -245,4 +256,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = near_groups(docs, id_col, text_col, words, most)
     gone = settle(groups.where("component_id <> doc_id").select("doc_id").distinct())
     name = "_" + max(docs.columns, key=len)
-    return docs.join(gone.withColumnRenamed("doc_id", name), F.col(id_col) == F.col(name), "left_anti")
+    return docs.join(sent(gone.withColumnRenamed("doc_id", name)), F.col(id_col) == F.col(name), "left_anti")
