@@ -38,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh_folder, settle
+from .packing import packed, runs, unpacked
+from .scratch import fresh_folder, sent, settle
 from .words import hashed_words, mixed
 
 #: Bytes of text that a batch has at most and at least on average, and that a slot stands for; least number of slots.
@@ -72,32 +72,6 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(([START >> ONE], h >> ONE, mixed(before * np.uint64(3) + h) >> ONE | PAIR)), bounds, some
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes, as many as the largest needs, compressed."""
-    x = x.astype("<u8")
-    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
-
-
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : raw[0]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], n).T
-    return out.reshape(-1).view("<u8")
-
-
-def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
-    """The rows of each value of a column, of rows that stand together by it."""
-    held: list[dict] = []
-    for b in batches:
-        for r in b.to_pylist():
-            if held and held[0][column] != r[column]:
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
-
-
 def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
     names = [x.split() for x in schema.split(", ")]
@@ -108,7 +82,7 @@ def _ask_batches(slots: int):
     """The distinct n-grams of each batch, by slot, with their counts in all texts and in target texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "batch"):
+        for rows in runs(batches, "batch"):
             keys, bounds, some = ngrams([r["text"] or b"" for r in rows])
             chosen = np.array([r["wanted"] for r in rows])
             found, at = np.unique(keys, return_inverse=True)
@@ -131,7 +105,7 @@ def _ask_batches(slots: int):
 
 def _answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows with the sums over all batches in place of each one's counts, without the keys; ``words`` counts the slot's vocabulary."""
-    for rows in _runs(batches, "slot"):
+    for rows in runs(batches, "slot"):
         keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["n"]), dtype=np.uint64) for r in rows])
         found, at = np.unique(keys, return_inverse=True)
         sums = [np.bincount(at, np.concatenate([unpacked(r[k], r["n"]) for r in rows])).astype(np.int64)[at] for k in ("every", "wanted")]
@@ -146,7 +120,7 @@ def _answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _score_batches(every: int, wanted: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "batch"):
+        for rows in runs(batches, "batch"):
             docs, parts = [r for r in rows if r["slot"] < 0], [r for r in rows if r["slot"] >= 0]
             keys, bounds, some = ngrams([r["text"] or b"" for r in docs])
             found, at = np.unique(keys, return_inverse=True)
@@ -171,8 +145,7 @@ def _score_batches(every: int, wanted: int, vocabulary: int):
 def _flagged(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``rows`` with a column ``wanted``: whether the id is a target's."""
     chosen = settle(targets.select(F.col(targets.columns[0]).cast("bigint").alias("of")).where("of is not null").distinct())
-    few = chosen.count() <= TARGETS
-    return rows.join(F.broadcast(chosen) if few else chosen.hint("merge"), F.col("doc_id") == F.col("of"), "left").withColumn("wanted", F.col("of").isNotNull()).drop("of")
+    return rows.join(sent(chosen, TARGETS), F.col("doc_id") == F.col("of"), "left").withColumn("wanted", F.col("of").isNotNull()).drop("of")
 
 
 def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

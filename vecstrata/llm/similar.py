@@ -8,12 +8,17 @@ common lines come last; the counts are those of ``BUCKETS`` hash buckets, and
 sharing them changes the order but not the result.  These shingles name the
 cells, and only rows of a cell meet.
 
+Most cells have one row.  Tasks send the cells of batches of texts, compressed,
+to slots, ranges of the hashes; a slot gives back only the cells that two texts
+or more have, and only these become rows.
+
 In a cell, pairs within ``LIMIT`` bits of SimHash over the shingle sets are
-candidates.  At similarity 0.8 a bit differs with probability 0.15, 9.7 bits of
-64 with a deviation of 2.9, so the limit is some five deviations off.  First a
-spanning forest of each cell's candidates is verified on the shingle sets, and
-then all the candidates that are not yet in one component; a large group of
-near copies so gives no square of pairs.
+candidates, found with the pivot distance tables of ``simhash``.  At similarity
+0.8 a bit differs with probability 0.15, 9.7 bits of 64 with a deviation of 2.9,
+so the limit is some five deviations off.  First a spanning forest of each
+cell's candidates is verified on the shingle sets, and then all the candidates
+that are not yet in one component; a large group of near copies so gives no
+square of pairs.
 
 Defined cases: null and blank texts have no shingles and are copies of each
 other; texts with fewer words than a shingle are one shingle; words are what
@@ -28,11 +33,13 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import settle
+from .packing import packed, runs, unpacked
+from .scratch import sent, settle
 from .simhash import SEED, dealt, link_batches
 from .words import NOT_BLANK, chunks, hashed_words, mixed
 
@@ -40,6 +47,9 @@ WORDS, LEAST, LIMIT = 5, 0.8, 24
 BUCKETS, BLOCK = 1 << 22, 1 << 16
 #: Shingles that a task holds before it counts them, and that are turned to bits at a time.
 HELD, RUN = 2_000_000, 1 << 16
+#: Bytes of text whose cells leave a task together; cells that a slot holds on average, and least number of slots.
+BATCH, SLOT, LEAST_SLOTS = 1 << 23, 1 << 20, 64
+PRINT = "slot bigint, batch bigint, n bigint, cells binary, owners binary, doc_id bigint, digest bigint, fp bigint"
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -86,36 +96,72 @@ def _count_batches(words: int):
 
 
 def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, codes of the summed counts, their total)."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
     for block, x in sums.items():
         codes = np.minimum(np.rint(8 * np.log2(1 + x)), 255).astype(np.uint8).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([codes], pa.binary())], names=["block", "codes"])
-
-
-def _print_batches(shared, words: int, least: float):
-    """A row for each text: id, digest of the shingle set, SimHash, and the shingles that name its cells."""
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([codes], pa.binary()), pa.array([int(x.sum())], pa.int64())], names=["block", "codes", "total"])
+
+
+def _print_batches(shared, words: int, least: float, slots: int):
+    """Of each batch of texts a row for each text (slot -1, its number in the batch as n) and one for each slot with the cells there and the texts that have them."""
+
+    def leave(batch: int, ids: list, digests: list[int], prints: list[int], cells: list[np.ndarray]) -> pa.RecordBatch:
+        first = {}
+        for k, d in enumerate(digests):
+            first.setdefault(d, k)
+        mine = sorted(first.values())  # equal sets send their cells once
+        every = np.concatenate([*(cells[k] for k in mine), np.zeros(0, np.uint64)])
+        owner = np.repeat(mine, [len(cells[k]) for k in mine]).astype(np.int64) if mine else np.zeros(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        slot = (every >> np.uint64(40)) * np.uint64(slots) >> np.uint64(24)
+        cuts = np.flatnonzero(np.diff(slot, prepend=np.uint64(1 << 63), append=np.uint64(1 << 63))) if len(slot) else np.zeros(1, np.int64)
+        out = [(-1, batch, k, None, None, *x) for k, x in enumerate(zip(ids, [d - (d >> 63 << 64) for d in digests], prints, strict=True))]
+        out += [(int(slot[x]), batch, int(y - x), packed(np.diff(every[x:y], prepend=np.uint64(0))), packed(owner[x:y]), None, None, None) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        kinds = [pa.binary() if t == "binary" else pa.int64() for _, t in (x.split() for x in PRINT.split(", "))]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PRINT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.frombuffer(shared.value, np.uint8)
+        often, batch = np.frombuffer(shared.value, np.uint8), TaskContext.get().partitionId() << 32
+        ids, digests, prints, cells, size = [], [], [], [], 0
         for b in batches:
-            digests, prints, cells = [], [], []
+            at = 0
             for texts in chunks(t.as_py() for t in b.column(1)):
                 for s in shingles(texts, words):
                     digests.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                     prints.append(_fingerprint(s))
                     n = len(s) - ceil(least * len(s) - 1e-9) + 1 if len(s) else 0
-                    cells.append(s[np.lexsort((s, often[s & np.uint64(BUCKETS - 1)]))[:n]].view(np.int64))
-            at = np.concatenate(([0], np.cumsum([len(c) for c in cells]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*cells, np.zeros(0, np.int64)])))
-            digest = pa.array(np.array(digests, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), digest, pa.array(prints, pa.int64()), lists], names=["doc_id", "digest", "fp", "cells"])
+                    cells.append(s[np.lexsort((s, often[s & np.uint64(BUCKETS - 1)]))[:n]])
+                ids += b.column(0).slice(at, len(texts)).to_pylist()
+                at += len(texts)
+                size += sum(map(len, texts))
+                if size >= BATCH:
+                    yield leave(batch, ids, digests, prints, cells)
+                    batch, ids, digests, prints, cells, size = batch + 1, [], [], [], [], 0
+        if ids:
+            yield leave(batch, ids, digests, prints, cells)
 
     return run
 
 
+def _met_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, batch, n) of the cells of a slot that are named twice or more."""
+    for rows in runs(batches, "slot"):
+        cells = np.concatenate([np.cumsum(unpacked(r["cells"], r["n"]), dtype=np.uint64) for r in rows])
+        order = np.argsort(cells, kind="stable")
+        same = cells[order][1:] == cells[order][:-1]
+        met = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+        batch = np.repeat([r["batch"] for r in rows], [r["n"] for r in rows])
+        owner = np.concatenate([unpacked(r["owners"], r["n"]).astype(np.int64) for r in rows])
+        for at in range(0, len(met), 1 << 16):
+            k = met[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(cells[k].view(np.int64)), pa.array(batch[k]), pa.array(owner[k])], names=["cell", "batch", "n"])
+
+
 def _set_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +189,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> Da
     """The pairs whose texts have the similarity."""
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = settle(rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_set_batches(words), "id bigint, held binary"))
+    sets = settle(rows.join(sent(settle(ids)), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_set_batches(words), "id bigint, held binary"))
     x, y = (sets.select(F.col("id").alias(f"of_{k}"), F.col("held").alias(f"in_{k}")) for k in ("a", "b"))
     both = pairs.join(x, F.col("a") == F.col("of_a")).join(y, F.col("b") == F.col("of_b")).select("a", "b", "in_a", "in_b")
     return settle(both.mapInArrow(_verify_batches(least), "a bigint, b bigint").distinct())
@@ -152,16 +198,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> Da
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
     """(doc_id, component_id) of the rows with an id; the component is its smallest id."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
-    often = np.zeros(BUCKETS, np.uint8)
+    often, total = np.zeros(BUCKETS, np.uint8), 0
     counts = rows.select("text").mapInArrow(_count_batches(words), "block bigint, counts binary").repartition("block")
-    for r in counts.mapInArrow(_sum_batches, "block bigint, codes binary").toLocalIterator():
+    for r in counts.mapInArrow(_sum_batches, "block bigint, codes binary, total bigint").collect():  # BUCKETS bytes in all
         often[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.codes, np.uint8)
+        total += r.total
     shared = docs.sparkSession.sparkContext.broadcast(often.tobytes())
-    prints = settle(rows.mapInArrow(_print_batches(shared, words, least), "doc_id bigint, digest bigint, fp bigint, cells array<bigint>"))
-    reps = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "cells"), "doc_id").alias("x"))
-    cells = reps.select(F.explode("x.cells").alias("cell"), F.col("x.fp").alias("fp"), "rep")
-    met = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cell").alias("met"))
-    cells = settle(cells.join(met, F.col("cell") == F.col("met")).select("cell", "fp", "rep"))
+    slots = max(LEAST_SLOTS, int(total * (1 - least)) // SLOT)
+    made = settle(rows.mapInArrow(_print_batches(shared, words, least, slots), PRINT))
+    prints = made.where("slot < 0").select("batch", "n", "doc_id", "digest", "fp")
+    least_ids = settle(prints.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    nodes = prints.join(least_ids, "digest").select("batch", "n", "fp", "rep")
+    met = made.where("slot >= 0").select("slot", "batch", "n", "cells", "owners").repartition("slot").sortWithinPartitions("slot").mapInArrow(_met_batches, "cell bigint, batch bigint, n bigint")
+    cells = settle(met.join(nodes, ["batch", "n"]).select("cell", "fp", "rep").distinct())
     links = _verified(dealt(cells).mapInArrow(link_batches(limit), "a bigint, b bigint"), rows, words, least)
     parts = settle(connected_components(links))
     joined = settle(cells.join(parts, F.col("rep") == F.col("node"), "left").select("cell", "fp", "rep", F.coalesce("component", "rep").alias("component")))
@@ -169,7 +218,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = joined.join(open_, F.col("cell") == F.col("met")).select("cell", "fp", "rep", "component")
     rest = _verified(dealt(joined).mapInArrow(link_batches(limit, True), "a bigint, b bigint"), rows, words, least)
     parts = connected_components(links.unionByName(rest))
-    least_ids = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     known = settle(least_ids.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component_id")))
     return prints.select("doc_id", "digest").join(known, F.col("digest") == F.col("of")).select("doc_id", "component_id")
 
@@ -178,4 +226,4 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` without the rows whose component has a smaller id; rows with a null id stay."""
     gone = settle(similar_groups(docs, id_col, text_col, words, least).where("component_id <> doc_id").select("doc_id").distinct())
     name = "_" + max(docs.columns, key=len)
-    return docs.join(gone.withColumnRenamed("doc_id", name), F.col(id_col) == F.col(name), "left_anti")
+    return docs.join(sent(gone.withColumnRenamed("doc_id", name)), F.col(id_col) == F.col(name), "left_anti")
