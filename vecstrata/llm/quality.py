@@ -1,27 +1,29 @@
 """A quality classifier learnt from overlapping heuristics, without labels.
 
-Heuristic labellers each say good, bad or nothing about a text.  The counts of
+Thirteen heuristic labellers, with bounds like those of published web-text
+filters, each say good, bad or nothing about a text.  Several look at the same
+faults in different ways, some often complain about sound texts.  The counts of
 their joint answers over all documents are the input of expectation-maximisation
 for a two-class model in which each labeller has its own answer probabilities in
-either class, with a prior that complaints about good texts are rare; it
-estimates how accurate each is and gives every combination of answers a
-posterior.  Silence is no evidence.  The posteriors of a bounded sample of documents (``SAMPLE``
-rows of least id hash) are the soft labels of a linear scorer over hashed byte
-trigrams and hashed labeller measurements.  The mean of the scorer's and the
-heuristics' log-odds decides on every document, also where these are silent.
-
-The joint answers have at most 3**8 combinations, so what reaches the driver is
+either class.  It starts from the share of good answers of each combination,
+every labeller weighing the same, and estimates how accurate each is; silence is
+no evidence.  The posteriors of a bounded sample of documents (``SAMPLE`` rows of
+least id hash) are the soft labels of a linear scorer over hashed byte trigrams
+and hashed measurements, and the scorer decides on every document.
+
+The joint answers have at most 3**13 combinations, so what reaches the driver is
 bounded; the sample is bounded by its parameter.
 
-Defined cases: null and empty texts are rejected (no words: bad); texts of any
-length are measured whole; rows with null ids are measured and decided like any
-other; repeated rows get equal decisions; where all documents get one answer
-combination, or an empty sample, the posterior alone decides; an empty table
-gives no rows; other columns pass through a filter unchanged.
+Defined cases: null and empty texts are rejected (no words); texts of any length
+are measured whole; rows with null ids are measured and decided like any other;
+repeated rows get equal decisions; where all documents get one class, or the
+sample is empty, the posterior alone decides; an empty table gives no rows;
+other columns pass through a filter unchanged.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -32,13 +34,12 @@ from pyspark.sql import functions as F
 
 #: Documents that the scorer is fitted on, at most, and buckets of its trigrams and measurements.
 SAMPLE, BUCKETS = 3000, 1 << 12
-#: Share of good documents assumed at first.
-GOOD_SHARE = 0.85
-#: Prior of a complaint about a good text, and its weight against the data: each labeller looks for one fault, so
-#: praise from the others must not outvote it.
-RARE, RARE_STRENGTH = 0.001, 20.0
+#: Added to each answer's count in either class.
+PRIOR = 1.0
 
 SYMBOLS = b"*$%#&|{}[]<>~^_\\=+@"
+#: What a line of prose ends with.
+ENDS = (b".", b"!", b"?", b":", b'"')
 MARKS = SYMBOLS + b".,;:!?\"'()"
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -55,55 +56,67 @@ COMMON = frozenset(
 )
 
 
+NAMES = "symbols letters upper excited repeats lines fields common ends length words word pair".split()
+WORDS = NAMES.index("words")
+
+
 def measures(text: bytes) -> np.ndarray:
-    """What the labellers measure: eight numbers of a whole text, and its number of words."""
+    """What the labellers measure of a whole text, in the order of ``NAMES``."""
     n, words = len(text), text.split()
     count = len(words)
     if not count:
-        return np.zeros(9)
-    letters = n - len(text.translate(None, LETTERS))
+        return np.zeros(len(NAMES))
+    letters, solid = n - len(text.translate(None, LETTERS)), sum(map(len, words))
     plain = text.lower().translate(None, MARKS).split()
-    lines = [x for x in text.split(b"\n") if x]
+    lines = [x.rstrip() for x in text.split(b"\n") if x.strip()]
     return np.array(
         [
             (n - len(text.translate(None, SYMBOLS))) / count,
+            letters / solid,
             (n - len(text.translate(None, UPPER))) / max(letters, 1),
+            (text.count(b"!") + text.count(b"?")) / count,
             sum(map(eq, words, words[1:])) / count,
             1 - len(set(lines)) / len(lines) if len(lines) > 2 else 0.0,
             text.count(b"|") / count,
             sum(map(COMMON.__contains__, plain)) / count,
-            (text.count(b"!") + text.count(b"?")) / count,
-            letters / count,
+            sum(x.endswith(ENDS) for x in lines) / len(lines),
+            solid / count,
             count,
+            max(Counter(words).values()) / count,
+            max(Counter(zip(words, words[1:], strict=False)).values(), default=0) / count,
         ]
     )
 
 
-# For each measurement, up to where it says bad or good, and from where.  A labeller is silent in between.
+ANY = 1e9
+# For each measurement, where it says bad and where good.  A labeller is silent in between.
 #: (bad below, good from, good up to, bad above)
 BOUNDS = np.array(
     [
-        (-1, 0, 0.06, 0.20),
-        (-1, 0, 0.10, 0.30),
-        (-1, 0, 0.02, 0.10),
-        (-1, 0, 0.25, 0.50),
-        (-1, 0, 0.01, 0.10),
-        (0.04, 0.12, 9, 9),
-        (-1, 0, 0.05, 0.20),
-        (2.0, 2.5, 9, 14),
+        (-ANY, -ANY, 0.05, 0.10),
+        (0.80, 0.90, ANY, ANY),
+        (-ANY, -ANY, 0.10, 0.30),
+        (-ANY, -ANY, 0.05, 0.10),
+        (-ANY, -ANY, 0.03, 0.10),
+        (-ANY, -ANY, 0.10, 0.30),
+        (-ANY, -ANY, 0.02, 0.10),
+        (0.06, 0.15, ANY, ANY),
+        (0.50, 0.90, ANY, ANY),
+        (3.0, 4.0, 8.0, 10.0),
+        (50, 100, 20_000, 100_000),
+        (-ANY, -ANY, 0.12, 0.25),
+        (-ANY, -ANY, 0.04, 0.12),
     ]
 )
-
-
 #: Words that a labeller needs before it says anything.
-NEEDS = np.array([5, 12, 12, 1, 5, 30, 8, 8])
+NEEDS = np.array([5, 12, 12, 5, 12, 1, 5, 20, 1, 5, 1, 20, 20])
 
 
 def votes(found: np.ndarray) -> np.ndarray:
     """1 good, 0 bad, 2 silent, for each labeller."""
-    bad = (found[:-1] < BOUNDS[:, 0]) | (found[:-1] > BOUNDS[:, 3])
-    good = (found[:-1] >= BOUNDS[:, 1]) & (found[:-1] <= BOUNDS[:, 2])
-    return np.where(found[-1] < NEEDS, 2, np.where(bad, 0, np.where(good, 1, 2)))
+    bad = (found < BOUNDS[:, 0]) | (found > BOUNDS[:, 3])
+    good = (found >= BOUNDS[:, 1]) & (found <= BOUNDS[:, 2])
+    return np.where(found[WORDS] < NEEDS, 2, np.where(bad, 0, np.where(good, 1, 2)))
 
 
 def key_of(answers: np.ndarray) -> int:
@@ -114,23 +127,23 @@ def key_of(answers: np.ndarray) -> int:
 class WeakLabels:
     """Accuracies of the labellers and posteriors of their joint answers."""
 
-    def __init__(self, counts: dict[int, int], rounds: int = 100):
+    def __init__(self, counts: dict[int, int], rounds: int = 300):
         keys = np.array(sorted(counts) or [0], np.int64)
         weight = np.array([counts.get(int(k), 0) for k in keys], float)
         answers = keys[:, None] // 3 ** np.arange(len(BOUNDS)) % 3
         bad, good = (answers == 0).sum(1), (answers == 1).sum(1)
-        post = np.where(bad > 0, 0.2 / bad.clip(1), np.where(good > 0, 0.95, GOOD_SHARE))  # a complaint weighs more than praise at first
+        post = (good + 1) / (good + bad + 2)
         for _ in range(rounds):
             self.share = (post @ weight + 1) / (weight.sum() + 2)
             sides = np.stack([(1 - post) * weight, post * weight])
-            table = np.stack([[sides[c] @ (answers == v) for v in range(2)] for c in range(2)]) + 0.5
-            spoken = weight @ (answers < 2)
-            table[1] += RARE_STRENGTH * spoken * np.array([[RARE], [1 - RARE]])
+            table = np.stack([[sides[c] @ (answers == v) for v in range(2)] for c in range(2)]) + PRIOR
             self.table = table / table.sum(1, keepdims=True)  # class, answer, labeller
             logs = np.concatenate([np.log(self.table), np.zeros((2, 1, len(BOUNDS)))], 1)  # silence says nothing
             like = np.stack([logs[c][answers, np.arange(len(BOUNDS))].sum(1) for c in range(2)])
             odds = like[1] - like[0] + np.log(self.share / (1 - self.share))
-            post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            held, post = post, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            if np.abs(post - held).max() < 1e-9:
+                break
         self.known = dict(zip(keys.tolist(), post.tolist(), strict=True))
 
     def accuracy(self) -> np.ndarray:
@@ -148,8 +161,10 @@ def vector(text: bytes, found: np.ndarray) -> np.ndarray:
         x = b.astype(np.uint32)
         h = (x[:-2] * np.uint32(0x9E3779B1) ^ x[1:-1] * np.uint32(0x85EBCA77) ^ x[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
         out = np.sqrt(np.bincount(h >> np.uint32(20), minlength=BUCKETS) / (len(b) - 2)).astype(np.float32)
-    steps = np.minimum((np.sqrt(found[:-1]) * 12).astype(np.int64), 40)
-    out[(np.arange(len(steps)) * 41 + np.where(found[-1] < NEEDS, 0, steps)) * 2654435761 % BUCKETS] += 1
+    sizes = np.sqrt(found) * 8
+    sizes[WORDS] = 4 * np.log2(1 + found[WORDS])
+    steps = np.minimum(sizes.astype(np.int64), 40)
+    out[(np.arange(len(steps)) * 41 + steps) * 2654435761 % BUCKETS] += 1
     return out
 
 
@@ -172,16 +187,15 @@ class QualityModel:
         self.labels, self.weights = labels, weights
 
     def judge(self, text: bytes | None) -> tuple[float, float, bool]:
-        """(posterior of the heuristics, probability by the mean log-odds of scorer and heuristics, whether it is kept)."""
+        """(posterior of the heuristics, probability by the scorer, whether it is kept)."""
         text = text or b""
-        found = measures(text)
         if not text.split():
             return 0.0, 0.0, False
+        found = measures(text)
         posterior = self.labels.known.get(key_of(votes(found)), 0.5)
         if self.weights is None:
             return posterior, posterior, posterior >= 0.5
-        said = np.clip(np.log(max(posterior, 1e-9) / max(1 - posterior, 1e-9)), -6, 6)
-        odds = (float(vector(text, found) @ self.weights[:-1] + self.weights[-1]) + said) / 2
+        odds = float(vector(text, found) @ self.weights[:-1] + self.weights[-1])
         return posterior, float(1 / (1 + np.exp(-np.clip(odds, -30, 30)))), odds >= 0
 
 
