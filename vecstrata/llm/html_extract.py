@@ -1,21 +1,24 @@
 """Main-text extraction by minimum-cut labelling of page blocks.
 
 A page is read into blocks, the runs of text between block-level tags, each with
-the elements around it.  A linear classifier turns a block's features into the
-log-odds of being content; positive odds become the capacity of the edge from
-the source, negative odds of the edge to the sink.  Neighbouring blocks are
-joined by smoothness edges, the stronger the more of their enclosing elements
+the elements around it.  A linear classifier turns what a block's text looks like
+into log-odds of being content, at most ``TEXT_MOST`` either way, and what the
+names of the elements around it hint at is added with the fixed weights of
+``HINTS``; the sum is cut at ``MOST``.  Positive odds become the capacity of the
+edge from the source, negative odds of the edge to the sink.  Neighbouring blocks
+are joined by smoothness edges, the stronger the more of their enclosing elements
 they share, and further edges join the closest blocks under one parent.  The
-minimum cut, found by max-flow, keeps the blocks on the source side.
+minimum cut, found by max-flow, keeps the blocks on the source side.  A name or a
+tag alone decides nothing: a paragraph with an odd class, a heading or a short
+line goes with its neighbours unless it stands apart from them.
 
 Blocks whose own odds outweigh all their smoothness edges have the same label in
 every minimum cut; they are fixed first and the flow runs on what is left.
 
 The classifier is trained on a bounded sample of pages (``SAMPLE`` rows of least
 id hash).  Its labels come from elements that say what they hold (article,
-main, nav, footer and so on); its weights then score blocks of any page, and
-the names of enclosing elements and classes count as fixed evidence besides.
-Where the sample has blocks of one kind only, prior weights serve.
+main, nav, footer and so on) and it sees the text only.  Where the sample has
+blocks of one kind only, prior weights serve.
 
 Defined cases: null and empty pages have an empty text; text outside any
 element is a block; unclosed elements end where HTML ends them or with the
@@ -39,7 +42,9 @@ from pyspark.sql import functions as F
 #: Pages that the classifier is trained on, at most.
 SAMPLE = 1000
 #: Smoothness of two neighbouring blocks: the least, and what grows with the share of enclosing elements in common.
-LEAST, SHARED, SIBLING = 0.2, 1.6, 0.3
+LEAST, SHARED, SIBLING = 0.1, 1.6, 0.3
+#: Log-odds that a block's text and the block as a whole have at most, either way.
+TEXT_MOST, MOST = 1.2, 4.0
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z)))", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|href)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -54,76 +59,107 @@ BLOCK = {
     "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold one block by themselves; their names say little about it.
+LEAVES = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "pre", "blockquote"}
+ROOTS = {"html", "body"}
 CONTENT_TAGS = {"article", "main"}
 BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "search"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
 CONTENT_NAMES = {"article", "content", "post", "entry", "story", "main", "body", "text", "prose"}
 BOILER_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "adbox", "banner", "bottombar", "breadcrumb", "breadcrumbs", "byline", "comment", "comments",
-    "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "dropdown", "feedback", "footer", "form", "gdpr", "header", "login", "masthead", "menu",
-    "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "privacy", "promo", "promoted",
-    "promotion", "recommended", "related", "replies", "reply", "respond", "rss", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored",
-    "subscribe", "tagcloud", "tags", "teaser", "toolbar", "topbar", "trending", "widget", "widgets",
+    "ad", "adbox", "ads", "adsense", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
+    "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "overlay", "pager", "pagination", "popup",
+    "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored",
+    "subscribe", "toolbar", "topbar", "trending", "widget", "widgets",
 }
+DOUBTFUL_NAMES = {
+    "banner", "bottombar", "copyright", "disclaimer", "dropdown", "feedback", "form", "header", "notice", "notices", "privacy", "reply", "rss", "tagcloud", "tags", "teaser",
+}
+#: Names with one of these words say what a whole page has, as ``with-sidebar``.
+LAYOUT_NAMES = {"has", "no", "with", "without"}
+#: What an element's tag and names hint at, and the log-odds of the innermost element with a hint and of those around it.
+HINTS = {"content tag": (0.7, 0.3), "content name": (0.7, 0.3), "boiler tag": (-3.0, -2.5), "boiler name": (-4.0, -2.5), "doubtful name": (-1.5, -0.3), "doubtful leaf": (-0.5, -0.3)}
+#: Log-odds of a block outside of all content tags, on a page that has some.
+OUTSIDE = -1.5
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "nav", "aside", "main", "td", "th"}
 
 
 class Block:
-    __slots__ = ("text", "path", "tag", "linked", "evidence", "says")
+    __slots__ = ("text", "path", "tag", "linked", "hints")
+
+    def __init__(self, text: str, path: tuple[int, ...], tag: str, linked: int, hints: tuple[str, ...]):
+        self.text, self.path, self.tag, self.linked, self.hints = text, path, tag, linked, hints
+
+    @property
+    def says(self) -> int:
+        """What the elements around it say for certain: 1 content, -1 boilerplate or 0."""
+        if any(h.startswith("boiler") for h in self.hints):
+            return -1
+        return int("content tag" in self.hints)
 
-    def __init__(self, text: str, path: tuple[int, ...], tag: str, linked: int, evidence: float, says: int):
-        self.text, self.path, self.tag, self.linked, self.evidence, self.says = text, path, tag, linked, evidence, says
+    def evidence(self, has_content: bool) -> float:
+        """Log-odds by the elements around it; ``has_content``: whether the page has content tags."""
+        odds = OUTSIDE if has_content and "content tag" not in self.hints else 0.0
+        if self.hints:
+            odds += HINTS[self.hints[-1]][0] + sum(HINTS[h][1] for h in set(self.hints[:-1]) - {self.hints[-1]})
+        return odds
 
 
-def _evidence(tag: str, attrs: str, inside_content: bool) -> tuple[float, int, bool]:
-    """(log-odds, what the element says: 1 content, -1 boilerplate or 0, hidden) of one element."""
-    odds, says, hidden = 0.0, 0, False
+def _hint(tag: str, attrs: str, inside_content: bool) -> tuple[str, bool]:
+    """(what one element hints at, hidden)."""
+    hint, hidden = "", False
     if tag in CONTENT_TAGS:
-        odds, says = 3.0, 1
+        hint = "content tag"
     elif tag in BOILER_TAGS or tag == "header" and not inside_content:
-        odds, says = -9.0, -1
+        hint = "boiler tag"
     if attrs and "=" in attrs or "hidden" in attrs:
+        words: set[str] = set()
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name in ("class", "id"):
-                words = set(WORD.findall(value))
-                if words & BOILER_NAMES and tag not in CONTENT_TAGS and tag != "body" and tag != "html":
-                    odds, says = min(odds, 0.0) - 9.0, -1
-                elif words & CONTENT_NAMES and not says:
-                    odds += 2.5
-            elif name == "role":
-                if value in BOILER_ROLES:
-                    odds, says = -9.0, -1
-                elif value in ("main", "article"):
-                    odds, says = 3.0, 1
+                words.update(WORD.findall(value))
+            elif name == "role" and value in BOILER_ROLES:
+                hint = "boiler tag"
+            elif name == "role" and value in CONTENT_TAGS:
+                hint = "content tag"
             elif name == "hidden" or name == "aria-hidden" and value == "true" and tag not in ("body", "main", "article") or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
-    return odds, says, hidden
+        if tag not in ROOTS and hint != "boiler tag" and words.isdisjoint(LAYOUT_NAMES):
+            content = not words.isdisjoint(CONTENT_NAMES)
+            if not words.isdisjoint(BOILER_NAMES):
+                hint = "boiler name"
+            elif tag in LEAVES:
+                hint = hint or "doubtful leaf" * (not content and not words.isdisjoint(DOUBTFUL_NAMES))
+            elif not words.isdisjoint(DOUBTFUL_NAMES):
+                hint = hint or "doubtful name" * (not content)
+            elif content:
+                hint = hint or "content name"
+    return hint, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     found: list[Block] = []
-    # open elements: (tag, number, odds, says, inside content, hidden)
-    stack: list[tuple[str, int, float, int, bool, bool]] = [("", 0, 0.0, 0, False, False)]
-    number, text, linked, in_link, at, path = 0, [], 0, False, 0, (0,)
+    # open elements: (tag, path, hints, hidden)
+    stack: list[tuple[str, tuple[int, ...], tuple[str, ...], bool]] = [("", (), (), False)]
+    number, text, linked, in_link, at = 0, [], 0, False, 0
 
     def end_block() -> None:
         nonlocal text, linked
         if text:
             said = " ".join(html.unescape("".join(text)).split())
-            tag, _, odds, says, _, hidden = stack[-1]
+            tag, path, hints, hidden = stack[-1]
             if said and not hidden:
-                found.append(Block(said, path, tag, linked, odds, says))
+                found.append(Block(said, path, tag, linked, hints))
             text, linked = [], 0
 
     def close(to: int) -> None:
-        nonlocal path, in_link
+        nonlocal in_link
         end_block()
         del stack[to:]
-        path, in_link = path[:to], False
+        in_link = False
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -174,12 +210,12 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 continue
             number += 1
-            _, _, odds, says, content, hidden = stack[-1]
-            own, own_says, own_hidden = _evidence(tag, m[3].rstrip("/>"), content)
-            if own_says > 0 and says < 0:
-                own, own_says = 0.0, 0  # an article among related links or comments is no main text
-            stack.append((tag, number, odds + own, own_says or says, content or own_says > 0, hidden or own_hidden))
-            path = (*path, number)
+            _, path, hints, hidden = stack[-1]
+            boiler = any(h.startswith("boiler") for h in hints)
+            hint, own_hidden = _hint(tag, m[3].rstrip("/>"), "content tag" in hints)
+            if hint.startswith("content") and boiler:
+                hint = ""  # an article among related links or comments is no main text
+            stack.append((tag, path if tag in ROOTS else (*path, number), (*hints, hint) if hint else hints, hidden or own_hidden))
     end_block()
     return found
 
@@ -196,15 +232,15 @@ def features(block: Block, place: float) -> list[float]:
         min(3, sum(text.count(c) for c in ".!?;:")) / 3,
         1.0 if text[-1] in ".!?:;\"'”»)" else 0.0,
         1.0 if block.tag in HEADINGS else 0.0,
-        1.0 if block.tag == "p" or block.tag in ("blockquote", "pre") else 0.0,
-        1.0 if block.tag == "li" else 0.0,
+        min(1.0, 5 * text.count(",") / words),
+        1.0 if text[0].isupper() else 0.0,
         1.0 if "©" in text or "all rights reserved" in text.lower() else 0.0,
         2 * abs(place - 0.5),
     ]
 
 
 #: Weights for want of a sample with both kinds of blocks, in the order of ``features``.
-PRIOR = np.array([-1.5, 1.0, 1.0, -3.0, 0.8, 0.8, 0.8, 1.0, -0.8, -3.0, -0.3])
+PRIOR = np.array([-1.5, 1.0, 1.0, -3.0, 0.8, 0.8, 0.8, 0.5, 0.2, -3.0, -0.3])
 
 
 def train(pages: list[str | None], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
@@ -289,13 +325,15 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 break
 
 
-def label(found: list[Block], weights: np.ndarray) -> list[bool]:
-    """Which blocks are main text."""
-    n = len(found)
-    if not n:
-        return []
-    odds = np.array([features(b, k / max(1, n - 1)) for k, b in enumerate(found)]) @ weights
-    odds = (np.clip(odds, -4, 4) + [b.evidence for b in found]).tolist()
+def capacities(found: list[Block], weights: np.ndarray) -> list[float]:
+    """The log-odds of each block being content."""
+    text = np.array([features(b, k / max(1, len(found) - 1)) for k, b in enumerate(found)]) @ weights
+    has_content = any("content tag" in b.hints for b in found)
+    return np.clip(np.clip(text, -TEXT_MOST, TEXT_MOST) + [b.evidence(has_content) for b in found], -MOST, MOST).tolist()
+
+
+def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges (block, block, weight) between neighbours in the page and between the closest blocks under one parent."""
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for k, b in enumerate(found):
@@ -306,11 +344,21 @@ def label(found: list[Block], weights: np.ndarray) -> list[bool]:
                 if x != y:
                     break
                 common += 1
-            edges.append((k - 1, k, LEAST + SHARED * (2 * common / (len(a) + len(b.path)))))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            edges.append((k - 1, k, LEAST + SHARED * 2 * common / max(1, len(a) + len(b.path))))
+        parent = b.path[-2] if len(b.path) > 1 else -1
         if parent in last and last[parent] < k - 1:
             edges.append((last[parent], k, SIBLING))
         last[parent] = k
+    return edges
+
+
+def label(found: list[Block], weights: np.ndarray) -> list[bool]:
+    """Which blocks are main text."""
+    n = len(found)
+    if not n:
+        return []
+    odds = capacities(found, weights)
+    edges = smoothness(found)
     smooth = [0.0] * n
     for a, b, w in edges:
         smooth[a] += w
