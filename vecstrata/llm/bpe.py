@@ -29,6 +29,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -77,13 +78,13 @@ class TrieEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.spelt |= {i: t.encode() for t, i in self.special.items()}
         self.four = {i: struct.pack("<I", i) for i in self.spelt}
+        self.token = [self.spelt.get(i) for i in range(max(self.spelt) + 1)]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\p{White_Space}+")
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The encoding by its definition: merge the pair of least rank, leftmost first, until none is left."""
@@ -210,26 +211,27 @@ class TrieEncoder:
         new = [r for r in runs if r not in self.ids]
         if len(self.ids) + len(new) > REMEMBER_RUNS:
             self.ids.clear()
-            self.text.clear()
             new = list(runs)
         cut = {r: [r.encode()] if r.isalpha() else [w.encode() for w in self.word.findall(r)] for r in new}
-        four, spelt, known = self.four, self.spelt, {}
+        four, known = self.four, {}
         for word, ids in self.encode_words({w for words in cut.values() for w in words}):
-            known[word] = b"".join([four[i] for i in ids]), b" ".join([spelt[i] for i in ids])
+            known[word] = b"".join([four[i] for i in ids])
         for run, words in cut.items():
-            if len(words) == 1:
-                self.ids[run], self.text[run] = known[words[0]]
-            else:
-                self.ids[run] = b"".join([known[w][0] for w in words])
-                self.text[run] = b" ".join([known[w][1] for w in words])
+            self.ids[run] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def forget(self) -> None:
         """Empty the memory of runs; workers serve other queries between tasks."""
         self.ids.clear()
-        self.text.clear()
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its ids as little-endian 32-bit numbers and the text decoded from them, in UTF-8."""
+    def decode(self, ids: bytes) -> bytes:
+        """The text of little-endian 32-bit ids, in UTF-8; special tokens are spelt out and unknown ids left out."""
+        numbers = np.frombuffer(ids, "<u4")
+        if len(numbers) and int(numbers.max()) >= len(self.token):
+            numbers = numbers[numbers < len(self.token)]
+        return b" ".join([t for t in map(self.token.__getitem__, numbers.tolist()) if t is not None])
+
+    def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """For each text its ids as little-endian 32-bit numbers."""
         parts: list[list[list[str] | str]] = []
         for text in texts:
             text, at, mine = text or "", 0, []
@@ -239,15 +241,13 @@ class TrieEncoder:
             parts.append([*mine, self._runs(text[at:])])
         self._learn({r for mine in parts for p in mine if not isinstance(p, str) for r in p})
         for mine in parts:
-            ids, said = [], []
+            ids = []
             for p in mine:
                 if isinstance(p, str):
                     ids.append(self.four[self.special[p]])
-                    said.append(p.encode())
                 else:
                     ids += map(self.ids.__getitem__, p)
-                    said += map(self.text.__getitem__, p)
-            yield b"".join(ids), b" ".join([s for s in said if s])
+            yield b"".join(ids)
 
 
 _loaded: dict[str, TrieEncoder] = {}
@@ -273,7 +273,7 @@ def _encode_batches(path: str):
                     size += len(mine[-1] or "")
                 made = list(e.encode_batch(mine))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(mine)), pa.array([x for x, _ in made], pa.binary()), pa.array([x.decode() for _, x in made], pa.string())],
+                    [ids.slice(at, len(mine)), pa.array(made, pa.binary()), pa.array([e.decode(x).decode() for x in made], pa.string())],
                     names=["doc_id", "ids", "decoded"],
                 )
                 at += len(mine)
@@ -282,6 +282,22 @@ def _encode_batches(path: str):
     return run
 
 
+def _decode_batches(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for b in batches:
+            texts = [e.decode(x.as_py() or b"").decode() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
+
+    return run
+
+
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """One row per row of ``encoded``: doc_id and the text that its ids (binary, as ``encode`` makes them) decode to; null ids decode to the empty text."""
+    narrow = encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("binary").alias("ids"))
+    return narrow.mapInArrow(_decode_batches(path), "doc_id bigint, decoded string")
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids, decoded.
 
