@@ -1,19 +1,20 @@
 """License scan by conditional compression.
 
 Lines with a license cue, and the paragraphs around them, are candidate blocks.
-Every template of whose words the block has enough is compared with the stretches
-of the block that start with one of its first words, by the exact differences in
-wording: the words of the template that the stretch lacks and the words that it
-adds in between, where placeholders may stand for versions, years and names.  A
-stretch is a hit if the differences are at most ``DIFFERENT`` of the template's
-words and every key word is there; a block has all its hits that do not overlap.
-Each hit's block is compressed alone and with the license template as a raw
-zstandard dictionary; the share of bytes saved says how much of the block the
-template explains.  It is reported and decides nothing, since it falls with the
-other text in the block.
+A block is compressed alone and with each license template, of whose words it has
+enough, as a raw zstandard dictionary; the templates are ranked by the bytes that
+they save.  In this order each is confirmed by the exact differences in wording
+between the template and the stretches of the block that start with one of its
+first words: the words of the template that the stretch lacks and the words that
+it adds in between, where placeholders may stand for versions, years and names.
+A stretch is a hit if the differences are at most ``DIFFERENT`` of the template's
+words and every key word is there.  Nothing is cut off by rank, since a short
+notice saves little of a long block; of hits that overlap, the one whose stretch
+the template makes smallest wins, and a block has all its winners.
 
 Defined cases: null and empty texts have no hits; texts of any length are read
-whole; of overlapping hits the longest template stays; rows with null ids are
+whole; of overlapping hits that save equally the one with fewer differences and
+the smaller block stays; rows with null ids are
 reported under null; repeated rows are reported each; an empty table gives no
 rows; extra columns are not read.
 """
@@ -64,6 +65,13 @@ TEMPLATES = {
     "MPL-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. {v}. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Reserved": "Copyright {y}. All rights reserved.",
     "SPDX-tag": "SPDX-License-Identifier: {v}",
+    "AGPL-head": "GNU AFFERO GENERAL PUBLIC LICENSE Version {v}, {y} Copyright (C) {y} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "Apache-head": "Apache License Version {v}, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "Boost-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "GPL-head": "GNU GENERAL PUBLIC LICENSE Version {v}, {y} Copyright (C) {y} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "LGPL-head": "GNU LESSER GENERAL PUBLIC LICENSE Version {v}, {y} Copyright (C) {y} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "PostgreSQL-text": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 # Words that tell one license from the next and may not differ.
@@ -83,9 +91,21 @@ class Scanner:
         self.packers = {name: _compressor(text) for name, text in sorted(self.templates.items())}
         self.words = {name: WORD.findall(text.lower()) for name, text in self.templates.items()}
 
-    def saved(self, block: bytes, name: str) -> float:
-        """Share of bytes that the template saves."""
-        return 1 - len(self.packers[name].compress(block)) / len(NOTHING.compress(block))
+    def saved(self, block: bytes, name: str) -> int:
+        """Bytes that the template saves."""
+        return len(NOTHING.compress(block)) - len(self.packers[name].compress(block))
+
+    def share_saved(self, block: bytes, name: str) -> float:
+        return self.saved(block, name) / len(NOTHING.compress(block))
+
+    def ranked(self, block: bytes, bag: set[str]) -> list[str]:
+        """The templates of whose words the block has enough, by the bytes that they save."""
+        able = []
+        for name, want in self.words.items():
+            fixed = [w for w in want if w[0] != "{"]
+            if sum(w not in bag for w in fixed) <= DIFFERENT * len(want) and TELLING & set(fixed) <= bag:
+                able.append((-self.saved(block, name), name))
+        return [name for _, name in sorted(able)]
 
     def differences(self, have: list[str], name: str) -> tuple[list[str], list[str], int, int]:
         """(words of the template that are lacking, words added in between, first matching word, word after the last), by a longest common subsequence."""
@@ -114,13 +134,11 @@ class Scanner:
         text = block.decode("utf-8", "surrogateescape")
         places = list(WORD.finditer(text))
         have = [m[0].lower() for m in places]
-        bag = set(have)
-        for name, want in self.words.items():
+        for name in self.ranked(block, set(have)):
+            want = self.words[name]
             most = DIFFERENT * len(want)
             slack = max(most, 6 * ("{y}" in want))
             fixed = [w for w in want if w[0] != "{"]
-            if sum(w not in bag for w in fixed) > most or not TELLING & set(fixed) <= bag:
-                continue
             firsts, size = set(want[: int(most) + 1]), len(want) + int(slack)
             for j, h in enumerate(have):
                 stretch = have[j : j + size]
@@ -159,12 +177,12 @@ class Scanner:
         if text and CUE.search(text):
             for at, block in self.blocks(text):
                 for start, end, name, lacking, added in self.notices(block):
-                    hits.append((-len(self.words[name]), len(lacking) + len(added), len(block), at + start, at + end, at, block, name, lacking, added))
+                    hits.append((-self.saved(block[start:end], name), len(lacking) + len(added), len(block), name, at + start, at + end, at, block, lacking, added))
         kept: list[tuple] = []
         for h in sorted(hits):
-            if all(h[4] <= k[3] or h[3] >= k[4] for k in kept):
+            if all(h[5] <= k[4] or h[4] >= k[5] for k in kept):
                 kept.append(h)
-        return sorted((at, at + len(block), name, self.saved(block, name), " ".join(lacking), " ".join(added)) for *_, at, block, name, lacking, added in kept)
+        return sorted((at, at + len(block), name, self.share_saved(block, name), " ".join(lacking), " ".join(added)) for _, _, _, name, _, _, at, block, lacking, added in kept)
 
 
 HIT = "doc_id bigint, start bigint, end bigint, license string, saved double, lacking string, added string"
