@@ -15,12 +15,18 @@ A candidate is confirmed on words: the longest common subsequence of the item
 and the region around the window covers ``SURE`` of the item, or it covers
 ``PARAPHRASE`` and the region holds the item's answer, its last sentence, too.
 
+Items of under ``RUNS`` words are too short for a cosine to tell, so they are also
+looked up whole: the runs of their first ``RUN`` words (all of them, if fewer) are
+kept as hashes, every run of the documents is looked up there, and what follows is
+compared word by word.
+
 The benchmark is read in blocks of at most ``BLOCK_BYTES``; each is broadcast
 and searched in all documents, so its size bounds the broadcast, not the
 benchmark.
 
 Defined cases: null and empty texts match nothing; items without words match
-nothing; items of under ``SHORT`` words must occur whole and in sequence;
+nothing; items of under ``SHORT`` words must occur whole and in sequence; an item that
+only the look-up finds has a null cosine;
 documents and items of any length are read whole; rows with null ids are
 searched and reported under null; repeated rows are reported each; an empty
 table on either side gives no matches; other columns pass a filter unchanged.
@@ -36,13 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, hashed_words
+from .words import chunks, hashed_words, mixed
 
 HALF, RANK, SEED = 32, 96, 7
 COSINE, SURE, PARAPHRASE, ANSWER, SHORT = 0.45, 0.65, 0.5, 0.8, 8
 #: Words of an item that one query vector stands for, at most; longer items have several.
 SEGMENT = 64
 BLOCK_BYTES = 4 << 20
+#: Items of fewer words are also looked up whole, by their first words.
+RUNS, RUN = 16, 5
 #: Terms of the space summed in one row, and matrix rows held at a time.
 TERMS, STEP = 64, 1_500
 
@@ -160,6 +168,14 @@ def singular_vectors(test: np.ndarray, z: np.ndarray) -> np.ndarray:
     return u.astype(np.float32)
 
 
+def _run_keys(numbers: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` terms."""
+    key = np.zeros(len(numbers) - size + 1, np.uint64)
+    for k in range(size):
+        key = mixed(key + numbers[k : k + len(key)].astype(np.uint64))
+    return key
+
+
 class LatentIndex:
     """The space of a benchmark block and the queries in it; answers for lists of texts."""
 
@@ -168,6 +184,15 @@ class LatentIndex:
         queries = [np.bincount(s, minlength=len(items.terms)) @ self.scaled for s in items.segments] or [np.zeros(basis.shape[1])]
         q = np.array(queries)
         self.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        sizes = np.array([len(w) for w in items.words])
+        for size in range(1, RUN + 1):
+            mine = np.flatnonzero((sizes == size) | (sizes > RUN) & (sizes < RUNS) & (size == RUN))
+            if len(mine):
+                firsts = np.concatenate([_run_keys(items.words[k][:size], size) for k in mine])
+                order = np.argsort(firsts, kind="stable")
+                keys, starts = np.unique(firsts[order], return_index=True)
+                self.runs[size] = keys, np.append(starts, len(mine)), mine[order]
         self.masks = []
         for words in items.words:
             mask: dict[int, int] = {}
@@ -201,7 +226,21 @@ class LatentIndex:
                 k = rows[r]
                 yield int(text[k]), int(owner[q]), int(k - firsts[text[k]]) * HALF, float(cosine[r, q])
 
-    def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, bool]]:
+    def whole(self, numbers: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) of the short items that occur whole."""
+        for size, (keys, starts, items) in self.runs.items():
+            if len(numbers) < size:
+                continue
+            found = _run_keys(numbers, size)
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            for k in np.flatnonzero(keys[at] == found):
+                text = int(np.searchsorted(bounds, k, "right")) - 1
+                for item in items[starts[at[k]] : starts[at[k] + 1]]:
+                    words = self.items.words[item]
+                    if k + len(words) <= bounds[text + 1] and (numbers[k : k + len(words)] == words).all():
+                        yield text, int(item)
+
+    def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, float | None, float, bool]]:
         """(text, item, cosine, share of the item in common, answer found) of confirmed pairs."""
         h, bounds = hashed_words(texts)
         numbers = self.items.numbered(h)
@@ -213,6 +252,8 @@ class LatentIndex:
             share, found = self.confirm(region, item)
             if share and (share, cosine) > best.get((text, item), (0.0, 0.0, False))[:2]:
                 best[text, item] = share, cosine, found
+        for pair in self.whole(numbers, bounds):
+            best[pair] = 1.0, best[pair][1] if pair in best else None, True
         for (text, item), (share, cosine, found) in sorted(best.items()):
             yield text, item, cosine, share, found
 
