@@ -19,14 +19,15 @@ FEW = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a temporary one if there is none."""
+    """The session's checkpoint folder with its file system; set to a temporary one if there is none."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vecstrata-"))
         held = sc._jsc.sc().getCheckpointDir()
-    return named or held.get()
+    path = spark._jvm.org.apache.hadoop.fs.Path(named or held.get())
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Writing.  Payloads are digested in the JVM; of equal payloads of at least
 ``revisit_bytes`` the capture with the largest id is the response and the others
-revisit it.  Each task writes its rows as one archive, a gzip member a record,
+revisit it.  The digests that occur twice are broadcast up to 2**18 of them, so
+that payloads stay where they are, and joined by a shuffle beyond.  Each task writes its rows as one archive, a gzip member a record,
 and returns a run of index rows sorted by (URL key, timestamp, id).
 
 Index merge.  The runs are dealt out by range, and each range is produced by an
@@ -43,7 +44,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fresh_folder, settle
+from .scratch import fresh_folder, sent, settle
 
 #: Captures carry no time of their own; they are dated one second apart from here, by id.
 FIRST_DATE = datetime(2024, 1, 1, tzinfo=UTC)
@@ -174,7 +175,8 @@ def _sort_key(row: dict) -> tuple:
 
 
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    """The file system and path of a folder; ``captures`` names it with its scheme."""
+    return pafs.FileSystem.from_uri(f"file://{folder.removeprefix('file:')}" if "://" not in folder else folder)
 
 
 def _write_batches(folder: str):
@@ -256,7 +258,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     marks = rows.select("page_id", "digest").where(F.octet_length("payload") >= revisit_bytes)
     repeated = marks.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     repeated = settle(repeated.select(F.col("digest").alias("of"), "first"))
-    typed = rows.join(repeated, F.col("digest") == F.col("of"), "left").select(
+    typed = rows.join(sent(repeated, 1 << 18), F.col("digest") == F.col("of"), "left").select(
         "page_id", "url", "payload", "digest", F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first")).alias("refers_to")
     )
     return settle(typed.mapInArrow(_write_batches(folder), INDEX))
