@@ -30,7 +30,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -121,7 +121,11 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _forest(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+#: Says of positions (i, j) of rows which pairs may stay.
+Check = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _forest(group: np.ndarray, fp: np.ndarray, most: int, check: Check | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of links that span the near pairs inside each group; groups stand together."""
     refs = pivots()
     first = _apart(fp, refs[0]).astype(np.int16)
@@ -154,6 +158,9 @@ def _forest(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, n
             i, j = i[keep], j[keep]
         keep = _apart(x[i], x[j]) <= most
         i, j = i[keep], j[keep]
+        if check and len(i):
+            keep = check(order[i], order[j])
+            i, j = i[keep], j[keep]
         if len(i):
             ri, rj = root(i), root(j)
             for a, b in zip(i[ri != rj].tolist(), j[ri != rj].tolist(), strict=True):
@@ -170,7 +177,7 @@ def _forest(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, n
     return order[np.array(out_i, np.int64)], order[np.array(out_j, np.int64)]
 
 
-def _all_pairs(group: np.ndarray, fp: np.ndarray, component: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _all_pairs(group: np.ndarray, fp: np.ndarray, component: np.ndarray, most: int, check: Check | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of all near pairs inside each group that are not of one component; groups stand together."""
     change = np.flatnonzero(np.diff(group, prepend=-1))
     mixed = np.logical_or.reduceat(component != np.repeat(component[change], np.diff(change, append=len(group))), change)
@@ -180,14 +187,21 @@ def _all_pairs(group: np.ndarray, fp: np.ndarray, component: np.ndarray, most: i
         live = live[live + gap < len(group)]
         live = live[group[live] == group[live + gap]]
         keep = (component[live] != component[live + gap]) & (_apart(fp[live], fp[live + gap]) <= most)
-        out_i.append(live[keep])
-        out_j.append(live[keep] + gap)
+        i, j = live[keep], live[keep] + gap
+        if check and len(i):
+            keep = check(i, j)
+            i, j = i[keep], j[keep]
+        out_i.append(i)
+        out_j.append(j)
     none = [np.zeros(0, np.int64)]
     return np.concatenate(out_i or none), np.concatenate(out_j or none)
 
 
-def link_batches(most: int, component: bool = False):
-    """Links of cells that stand together: a spanning forest of the near pairs, or all near pairs of different components."""
+def link_batches(most: int, component: bool = False, checked: Callable[[pa.Table], Check] | None = None):
+    """Links of cells that stand together: a spanning forest of the near pairs, or all near pairs of different components.
+
+    ``checked`` makes a further check of pairs from the rows at hand.
+    """
 
     def links(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -199,7 +213,8 @@ def link_batches(most: int, component: bool = False):
         group = np.zeros(end, np.int64)
         group[change[change < end]] = 1
         group, rep, fp = np.cumsum(group), t.column("rep").to_numpy()[:end], t.column("fp").to_numpy()[:end].view(np.uint64)
-        i, j = _all_pairs(group, fp, t.column("component").to_numpy()[:end], most) if component else _forest(group, fp, most)
+        check = checked(t) if checked else None
+        i, j = _all_pairs(group, fp, t.column("component").to_numpy()[:end], most, check) if component else _forest(group, fp, most, check)
         made = pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
         return made, t.slice(end).to_batches()
 

@@ -12,13 +12,15 @@ Most cells have one row.  Tasks send the cells of batches of texts, compressed,
 to slots, ranges of the hashes; a slot gives back only the cells that two texts
 or more have, and only these become rows.
 
-In a cell, pairs within ``LIMIT`` bits of SimHash over the shingle sets are
-candidates, found with the pivot distance tables of ``simhash``.  At similarity
-0.8 a bit differs with probability 0.15, 9.7 bits of 64 with a deviation of 2.9,
-so the limit is some five deviations off.  First a spanning forest of each
-cell's candidates is verified on the shingle sets, and then all the candidates
-that are not yet in one component; a large group of near copies so gives no
-square of pairs.
+In a cell, pairs within ``LIMIT`` bits of a 64-bit SimHash over the shingle sets
+are found with the pivot distance tables of ``simhash``.  Of these the ones whose
+sizes allow the similarity and that are within ``WIDE`` of all ``64 * HASHES``
+bits are candidates.  At similarity 0.8 a bit differs with probability 0.15: 9.7 of
+64 bits with a deviation of 2.9, and 38.6 of 256 with 5.7, so either limit is some
+five deviations off, while texts that have a passage in common seldom pass the
+second.  First a spanning forest of each cell's candidates is verified on the
+shingle sets, and then all the candidates that are not yet in one component; a
+large group of near copies so gives no square of pairs.
 
 Defined cases: null and blank texts have no shingles and are copies of each
 other; texts with fewer words than a shingle are one shingle; words are what
@@ -41,15 +43,17 @@ from .components import connected_components
 from .packing import packed, runs, unpacked
 from .scratch import sent, settle
 from .simhash import SEED, dealt, link_batches
-from .words import NOT_BLANK, chunks, hashed_words, mixed
+from .words import BASE, NOT_BLANK, chunks, hashed_words, mixed
 
 WORDS, LEAST, LIMIT = 5, 0.8, 24
+#: 64-bit hashes of a shingle that the whole SimHash is made of, and the bits of it that may differ.
+HASHES, WIDE = 4, 68
 BUCKETS, BLOCK = 1 << 22, 1 << 16
 #: Shingles that a task holds before it counts them, and that are turned to bits at a time.
 HELD, RUN = 2_000_000, 1 << 16
 #: Bytes of text whose cells leave a task together; cells that a slot holds on average, and least number of slots.
 BATCH, SLOT, LEAST_SLOTS = 1 << 23, 1 << 20, 64
-PRINT = "slot bigint, batch bigint, n bigint, cells binary, owners binary, doc_id bigint, digest bigint, fp bigint"
+PRINT = "slot bigint, batch bigint, n bigint, cells binary, owners binary, doc_id bigint, digest bigint, fp bigint, wide binary, size bigint"
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -65,11 +69,33 @@ def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _fingerprint(found: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
+def _fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a shingle set: ``HASHES`` numbers, the first from the shingles' own hashes."""
+    ones = np.zeros(64 * HASHES, np.int64)
     for at in range(0, len(found), RUN):
-        ones += np.unpackbits(found[at : at + RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+        part = found[at : at + RUN]
+        every = np.stack([part, *(mixed(part + BASE * np.uint64(k)) for k in range(1, HASHES))], 1)
+        bits = np.unpackbits(every.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+        ones += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<u8")
+
+
+def _alike(least: float):
+    """A check of pairs by their sizes and whole SimHashes."""
+
+    def checked(rows: pa.Table):
+        size = rows.column("size").to_numpy()
+        wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), "<u8").reshape(len(size), -1)
+
+        def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            keep = least * np.maximum(size[i], size[j]) <= np.minimum(size[i], size[j]) + 1e-9
+            keep[keep] = np.bitwise_count(wide[i[keep]] ^ wide[j[keep]]).sum(1) <= WIDE
+            return keep
+
+        return check
+
+    return checked
 
 
 def _count_batches(words: int):
@@ -109,7 +135,7 @@ def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _print_batches(shared, words: int, least: float, slots: int):
     """Of each batch of texts a row for each text (slot -1, its number in the batch as n) and one for each slot with the cells there and the texts that have them."""
 
-    def leave(batch: int, ids: list, digests: list[int], prints: list[int], cells: list[np.ndarray]) -> pa.RecordBatch:
+    def leave(batch: int, ids: list, digests: list[int], prints: list[tuple], cells: list[np.ndarray]) -> pa.RecordBatch:
         first = {}
         for k, d in enumerate(digests):
             first.setdefault(d, k)
@@ -120,8 +146,8 @@ def _print_batches(shared, words: int, least: float, slots: int):
         every, owner = every[order], owner[order]
         slot = (every >> np.uint64(40)) * np.uint64(slots) >> np.uint64(24)
         cuts = np.flatnonzero(np.diff(slot, prepend=np.uint64(1 << 63), append=np.uint64(1 << 63))) if len(slot) else np.zeros(1, np.int64)
-        out = [(-1, batch, k, None, None, *x) for k, x in enumerate(zip(ids, [d - (d >> 63 << 64) for d in digests], prints, strict=True))]
-        out += [(int(slot[x]), batch, int(y - x), packed(np.diff(every[x:y], prepend=np.uint64(0))), packed(owner[x:y]), None, None, None) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = [(-1, batch, k, None, None, i, d - (d >> 63 << 64), *x) for k, (i, d, x) in enumerate(zip(ids, digests, prints, strict=True))]
+        out += [(int(slot[x]), batch, int(y - x), packed(np.diff(every[x:y], prepend=np.uint64(0))), packed(owner[x:y]), *[None] * 5) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         kinds = [pa.binary() if t == "binary" else pa.int64() for _, t in (x.split() for x in PRINT.split(", "))]
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PRINT.split(", ")])
 
@@ -133,7 +159,8 @@ def _print_batches(shared, words: int, least: float, slots: int):
             for texts in chunks(t.as_py() for t in b.column(1)):
                 for s in shingles(texts, words):
                     digests.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
-                    prints.append(_fingerprint(s))
+                    wide = _fingerprint(s)
+                    prints.append((int(wide[:1].view("<i8")[0]), wide.tobytes(), len(s)))
                     n = len(s) - ceil(least * len(s) - 1e-9) + 1 if len(s) else 0
                     cells.append(s[np.lexsort((s, often[s & np.uint64(BUCKETS - 1)]))[:n]])
                 ids += b.column(0).slice(at, len(texts)).to_pylist()
@@ -206,17 +233,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(often.tobytes())
     slots = max(LEAST_SLOTS, int(total * (1 - least)) // SLOT)
     made = settle(rows.mapInArrow(_print_batches(shared, words, least, slots), PRINT))
-    prints = made.where("slot < 0").select("batch", "n", "doc_id", "digest", "fp")
+    prints = made.where("slot < 0").select("batch", "n", "doc_id", "digest", "fp", "wide", "size")
     least_ids = settle(prints.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    nodes = prints.join(least_ids, "digest").select("batch", "n", "fp", "rep")
+    nodes = prints.join(least_ids, "digest").select("batch", "n", "fp", "wide", "size", "rep")
     met = made.where("slot >= 0").select("slot", "batch", "n", "cells", "owners").repartition("slot").sortWithinPartitions("slot").mapInArrow(_met_batches, "cell bigint, batch bigint, n bigint")
-    cells = settle(met.join(nodes, ["batch", "n"]).select("cell", "fp", "rep").distinct())
-    links = _verified(dealt(cells).mapInArrow(link_batches(limit), "a bigint, b bigint"), rows, words, least)
+    cells = settle(met.join(nodes, ["batch", "n"]).select("cell", "fp", "wide", "size", "rep").distinct())
+    links = _verified(dealt(cells).mapInArrow(link_batches(limit, False, _alike(least)), "a bigint, b bigint"), rows, words, least)
     parts = settle(connected_components(links))
-    joined = settle(cells.join(parts, F.col("rep") == F.col("node"), "left").select("cell", "fp", "rep", F.coalesce("component", "rep").alias("component")))
+    joined = settle(cells.join(parts, F.col("rep") == F.col("node"), "left").select("cell", "fp", "wide", "size", "rep", F.coalesce("component", "rep").alias("component")))
     open_ = joined.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("cell").alias("met"))
-    joined = joined.join(open_, F.col("cell") == F.col("met")).select("cell", "fp", "rep", "component")
-    rest = _verified(dealt(joined).mapInArrow(link_batches(limit, True), "a bigint, b bigint"), rows, words, least)
+    joined = joined.join(open_, F.col("cell") == F.col("met")).select("cell", "fp", "wide", "size", "rep", "component")
+    rest = _verified(dealt(joined).mapInArrow(link_batches(limit, True, _alike(least)), "a bigint, b bigint"), rows, words, least)
     parts = connected_components(links.unionByName(rest))
     known = settle(least_ids.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component_id")))
     return prints.select("doc_id", "digest").join(known, F.col("digest") == F.col("of")).select("doc_id", "component_id")
