@@ -21,6 +21,11 @@ def words_for(dimensions: int, bits: int) -> int:
     return -(-dimensions * bits // 64)
 
 
+def code_bytes(dimensions: int, bits: int) -> int:
+    """Bytes of a code: whole words."""
+    return 8 * words_for(dimensions, bits)
+
+
 def train_statistics(vectors: DataFrame, column: str = "vector") -> DataFrame:
     """(dim, count, mean, m2) of each dimension, dimensions from 0."""
     flat = vectors.select(F.posexplode(column).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))

@@ -217,8 +217,7 @@ class VectorIndex:
         m = self._pinned(snapshot)
         nodes = self._nodes(m)
         hits = walk(nodes, self._checked_queries(queries), self.config, m["starts"], self._statistics(m), options)
-        names = nodes.select("node_id", "external_id")
-        return hits.withColumnRenamed("id", "node_id").join(names, "node_id").select("query_id", "rank", "node_id", "external_id", "distance")
+        return hits.withColumnRenamed("id", "node_id")
 
     def exact_search(self, queries: DataFrame, limit: int, filter: list[int] | None = None, snapshot: Snapshot | None = None) -> DataFrame:
         """The same by comparing all visible rows."""
@@ -327,14 +326,19 @@ class VectorIndex:
             }
             return Snapshot(self.storage.publish(made, m["version"]), self.storage.uid)
 
+    def _unknown(self, rows: DataFrame, m: dict, key: str) -> None:
+        """An error if an id of new rows is visible already."""
+        if not rows.join(self._nodes(m).select(key), key, "left_semi").isEmpty():
+            raise InvalidArgumentError(f"{key}: one exists already")
+
     def insert(self, df: DataFrame, order_by: str = "external_id") -> Snapshot:
         """Add rows (external_id, vector[, labels]), linked one after the other in each shard."""
         with self._lock:
             m = self._pinned(None)
             rows = self._checked(df)
-            if not rows.join(self._nodes(m).select("external_id"), "external_id", "left_semi").isEmpty():
-                raise InvalidArgumentError("an external id exists already")
-            rows = numbered(rows, [order_by], m["max_node"] + 1)
+            self._unknown(rows, m, "external_id")
+            # the log may be ahead of the manifest, if a writer stopped between the two
+            rows = numbered(rows, [order_by], max(m["max_node"], self.storage.state().get("max_node", 0)) + 1)
             log = rows.select(F.lit("insert").alias("op"), "node_id", F.col("external_id").cast("bigint").alias("external_id"), F.col("vector").alias("full_vector"), "labels")
             applied = self._append(log, m, ["node_id"])
             return self._insert(m, rows, applied)
@@ -357,8 +361,8 @@ class VectorIndex:
         first = state.get("next", 0)
         rows = numbered(log, order, first, "log_offset").select(*[x.split()[0] for x in LOG.split(", ")])
         self.storage.put(f"log/{first:020d}", rows)
-        size = self.storage.get(f"log/{first:020d}").count()
-        self.storage.set_state(state | {"next": first + size, "first": state.get("first", 0)})
+        size, last = self.storage.get(f"log/{first:020d}").agg(F.count(F.lit(1)), F.max("node_id")).first()
+        self.storage.set_state(state | {"next": first + size, "first": state.get("first", 0), "max_node": max(state.get("max_node", 0), last or 0)})
         return first + size - 1
 
     def _publish_delta(self, m: dict, records: DataFrame, rewrites: DataFrame, tombstones: DataFrame, change: dict) -> Snapshot:
@@ -452,7 +456,12 @@ class VectorIndex:
         return out.where(F.col("log_offset") >= from_offset)
 
     def replay(self, mutations: DataFrame) -> Snapshot:
-        """Apply log rows in order without logging them again; those applied before are passed over."""
+        """Apply log rows in order without logging them again; those applied before are passed over.
+
+        Inserted rows are held to what ``insert`` asks for (size, finite numbers,
+        labels, ids that are new) and normalised for cosine.  A run of rows that
+        breaks a rule is an error and is not applied; the runs before it stay.
+        """
         with self._lock:
             m = self._pinned(None)
             rows = mutations.where(F.col("log_offset") > m["applied"]).persist()
@@ -465,7 +474,12 @@ class VectorIndex:
                 last = part.agg(F.max("log_offset")).first()[0]
                 m = self._pinned(None)
                 if head.op == "insert":
-                    self._insert(m, part.select("node_id", "external_id", F.col("full_vector").alias("vector"), label_set(F.col("labels")).alias("labels")), last)
+                    new = self._checked(part.select("node_id", "external_id", F.col("full_vector").alias("vector"), "labels"))
+                    if new.where("node_id is null or node_id < 1").limit(1).count() or not new.groupBy("node_id").count().where("count > 1").isEmpty():
+                        raise InvalidArgumentError("a node id is missing or occurs twice")
+                    self._unknown(new, m, "external_id")
+                    self._unknown(new, m, "node_id")
+                    self._insert(m, new, last)
                 else:
                     self._delete(m, part.select("node_id"), last)
             rows.unpersist()

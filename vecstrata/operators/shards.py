@@ -20,7 +20,9 @@ from ..plans.exact import matrix, query_blocks, ranked, unit
 from .graph import Graph
 
 NODES = "node_id bigint, external_id bigint, full_vector array<float>, routing_plain array<float>, routing_sbq array<bigint>, labels array<smallint>, neighbors array<bigint>, shard int"
-HITS = "query_id bigint, id bigint, distance double"
+HITS = "query_id bigint, id bigint, external_id bigint, distance double"
+#: Queries that walk a shard together, so that what they hold stays within some hundred MB.
+TOGETHER = 512
 
 
 def graph_of(table: pa.Table, config: IndexConfig) -> Graph:
@@ -71,7 +73,7 @@ def encode_queries(q: np.ndarray, config: IndexConfig, stats: tuple | None) -> t
 
 
 def walk(nodes: DataFrame, queries: DataFrame, config: IndexConfig, starts: dict[str, dict], stats: tuple | None, options: SearchOptions) -> DataFrame:
-    """(query_id, rank, id, distance) with node ids; ``queries(query_id, vector[, filter])``, ``starts`` by shard."""
+    """(query_id, rank, id, external_id, distance) with node ids; ``queries(query_id, vector[, filter])``, ``starts`` by shard."""
     found = None
     filter_col = "filter" if "filter" in queries.columns else None
     for ids, vectors, wanted in query_blocks(queries, "query_id", "vector", filter_col):
@@ -86,14 +88,22 @@ def walk(nodes: DataFrame, queries: DataFrame, config: IndexConfig, starts: dict
 
 def _walk_shard(shared, config: IndexConfig, starts: dict[str, dict], options: SearchOptions) -> Callable:
     def run(key, table):
-        graph, out = graph_of(table, config), ([], [], [])
+        graph, out = graph_of(table, config), []
         mine = starts.get(str(key[0].as_py()), {})
-        for query, routing, full, wanted in zip(*shared.value, strict=True):
-            wanted = frozenset(wanted or options.filter or ())
-            for d, k in graph.search(routing, full, starts_for(mine, wanted), options.limit, options.search_list_size, wanted, options.rescore, options.budget):
-                for column, x in zip(out, (query, int(graph.ids[k]), d), strict=True):
-                    column.append(x)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
+        ids, routing, full, filters = shared.value
+        wanted = [frozenset(w or options.filter or ()) for w in filters]
+        limit, width, budget = options.limit, options.search_list_size, options.budget
+        for at in range(0, len(ids), TOGETHER):
+            part = range(at, min(at + TOGETHER, len(ids)))
+            entries = [starts_for(mine, wanted[k]) for k in part]
+            if graph.fits_budget(width, budget, routing[0].nbytes):
+                hits = graph.search_all(routing[part], full[part], entries, limit, width, [wanted[k] for k in part], options.rescore)
+            else:
+                hits = [graph.search(routing[k], full[k], e, limit, width, wanted[k], options.rescore, budget) for k, e in zip(part, entries, strict=True)]
+            out += [(ids[k], int(graph.ids[r]), int(graph.external[r]), d) for k, found in zip(part, hits, strict=True) for d, r in found]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n.split()[0]: pa.array(c, t) for n, c, t in zip(HITS.split(", "), columns, kinds, strict=True)})
 
     return run
 

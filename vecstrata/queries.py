@@ -1,8 +1,7 @@
 """The catalogue of queries over ``embeddings`` and the SQL that gives the same rows.
 
-Queries are the rows with ``vec_id < 10``; each search is also there as
-``NAME_every_20th``, asked for every row whose id is divisible by 20, and
-``node_reads_all`` and ``streaming_ingest_all`` cover the whole table.  Versioned tables are derived from
+Searches are asked for every row whose id is divisible by 20, against all rows.
+Versioned tables are derived from
 ``embeddings`` by predicates, the same on both sides (see FIXTURES.md, part C).
 Distances are rounded to six decimals: the engine and the SQL add up doubles in
 different orders.
@@ -11,7 +10,6 @@ different orders.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +22,9 @@ from .index import VectorIndex
 from .operators.shards import reachable_by_joins
 from .plans import exact_topk, fold_mutations, node_reads, rescore, two_phase_topk, visible_nodes
 
-K, QUERIES = 10, 10
-EVERY_20TH = "vec_id % 20 = 0"
+K = 10
 #: The rows that searches ask for.
-_asking = ContextVar("asking", default=f"vec_id < {QUERIES}")
+EVERY_20TH = "vec_id % 20 = 0"
 BUILD = {"max_neighbors": 24, "build_search_list_size": 64}
 
 
@@ -36,20 +33,7 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(e: DataFrame) -> DataFrame:
-    return e.where(_asking.get())
-
-
-def _every_20th(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The same search, asked for every row whose id is divisible by 20."""
-
-    def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-        old = _asking.set(EVERY_20TH)
-        try:
-            return run(spark, sf_dir)
-        finally:
-            _asking.reset(old)
-
-    return wide
+    return e.where(EVERY_20TH)
 
 
 def _shown(hits: DataFrame, id_col: str = "id") -> DataFrame:
@@ -169,12 +153,6 @@ def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _embeddings(spark, sf_dir)
-    asked = spark.range(0, 40).select(F.col("id").alias("pos"), (F.col("id") * 29 + 1).alias("node_id"))
-    return node_reads(asked, _visible(e), _tombstones(e), EPOCH).select("pos", "node_id", "status", "external_id")
-
-
-def reads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of every node id of the table, and of 40 ids past it."""
     e = _embeddings(spark, sf_dir)
     asked = spark.range(0, e.count() + 40).select(F.col("id").alias("pos"), (F.col("id") + 1).alias("node_id"))
@@ -338,7 +316,8 @@ def graph_insert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.insert(rows.where("external_id % 50 = 7"))
     index.delete(rows.where("external_id between 1 and 5").select("external_id"))
     q = _asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return index.exact_search(q, K).select("query_id", "rank", F.col("external_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    n = e.count()
+    return _shown(index.search(q, K, n, budget=_budget(n)), "external_id")
 
 
 def budget_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,17 +366,6 @@ def _ingested(spark: SparkSession, log: DataFrame) -> DataFrame:
 
 
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of inserts and a delete, taken in by a stream; what is visible after it."""
-    e = _embeddings(spark, sf_dir).where("vec_id < 60")
-    op = F.when(F.col("vec_id") >= 50, "delete").otherwise("insert")
-    log = e.select(
-        F.col("vec_id").alias("log_offset"), op.alias("op"), F.when(F.col("vec_id") >= 50, F.col("vec_id") - 49).otherwise(F.col("vec_id") + 1).alias("node_id"),
-        F.when(F.col("vec_id") >= 50, F.col("vec_id") - 50).otherwise(F.col("vec_id")).alias("external_id"), F.col("embedding").alias("full_vector"), F.array().cast("array<smallint>").alias("labels"),
-    )
-    return _ingested(spark, log)
-
-
-def streaming_ingest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log that inserts the whole table and then deletes every row whose id is divisible by 20."""
     e = _embeddings(spark, sf_dir)
     rows = lambda e, op, after: e.select(
@@ -418,7 +386,7 @@ def _topk_sql(distance: str, where: str = "true", a: str = "q.embedding", b: str
     return f"""
 select query_id, rank, id as {name}, round(distance, 6) as distance from (
   select *, row_number() over (partition by query_id order by distance, id) as rank from (
-    select q.vec_id as query_id, e.{id_} as id, {value} as distance from embeddings q, {of} e where q.vec_id < {QUERIES} and {where})) where rank <= {k}"""
+    select q.vec_id as query_id, e.{id_} as id, {value} as distance from embeddings q, {of} e where q.{EVERY_20TH} and {where})) where rank <= {k}"""
 
 
 def _two_phase_sql(cheap: str, of: str, size: int) -> str:
@@ -428,7 +396,7 @@ select query_id, rank, vec_id, round(distance, 6) as distance from (
   select query_id, vec_id, distance, row_number() over (partition by query_id order by distance, vec_id) as rank from (
     select c.query_id, c.vec_id, {exact} as distance from (
       select *, row_number() over (partition by query_id order by d, vec_id) as r from (
-        select q.vec_id as query_id, e.vec_id, {cheap} as d from {of} q, {of} e where q.vec_id < {QUERIES})) c
+        select q.vec_id as query_id, e.vec_id, {cheap} as d from {of} q, {of} e where q.{EVERY_20TH})) c
     join embeddings q on q.vec_id = c.query_id join embeddings e on e.vec_id = c.vec_id where c.r <= {size})) where rank <= {K}"""
 
 
@@ -460,15 +428,15 @@ def _recall_sql() -> str:
         CODES.rstrip()
         + f""", cheap as (
   select *, row_number() over (partition by query_id order by d, vec_id) as r from (
-    select q.vec_id as query_id, e.vec_id, {BITS_APART} as d from codes q, codes e where q.vec_id < {QUERIES})),
-dist as (select q.vec_id as query_id, e.vec_id, {exact} as distance from embeddings q, embeddings e where q.vec_id < {QUERIES}),
+    select q.vec_id as query_id, e.vec_id, {BITS_APART} as d from codes q, codes e where q.{EVERY_20TH})),
+dist as (select q.vec_id as query_id, e.vec_id, {exact} as distance from embeddings q, embeddings e where q.{EVERY_20TH}),
 truth as (select query_id, vec_id from (select *, row_number() over (partition by query_id order by distance, vec_id) as r from dist) where r <= {K}),
 sizes as (select unnest([50, 100, 200, 400])::bigint as list_size),
 hits as (
   select list_size, query_id, vec_id from (
     select s.list_size, c.query_id, c.vec_id, row_number() over (partition by s.list_size, c.query_id order by d.distance, c.vec_id) as r
     from sizes s join cheap c on c.r <= s.list_size join dist d on d.query_id = c.query_id and d.vec_id = c.vec_id) where r <= {K})
-select s.list_size, round(count(t.vec_id) / {float(K * QUERIES)}, 6) as recall
+select s.list_size, round(count(t.vec_id) / ({float(K)} * (select count(*) from embeddings where {EVERY_20TH})), 6) as recall
 from sizes s left join hits h using (list_size) left join truth t on t.query_id = h.query_id and t.vec_id = h.vec_id group by s.list_size"""
     )
 
@@ -497,7 +465,7 @@ from (select vec_id, {NORM.format(v=SCALED)} as n from embeddings)""",
     "sbq_recall": _recall_sql(),
     "visible_nodes": VISIBLE.format(epoch=EPOCH) + "select node_id, external_id, neighbors, round(v[1], 6) as v0 from vis",
     "node_reads": VISIBLE.format(epoch=EPOCH)
-    + f""", asked as (select i as pos, i * 29 + 1 as node_id from range(40) t(i))
+    + f""", asked as (select i as pos, i + 1 as node_id from range((select count(*) + 40 from embeddings)) t(i))
 select a.pos, a.node_id, v.external_id,
        case when t.node_id is not null then 'Tombstoned' when v.node_id is not null then 'Present' else 'Missing' end as status
 from asked a left join vis v using (node_id) left join (select node_id from tomb where epoch <= {EPOCH}) t using (node_id)""",
@@ -530,15 +498,9 @@ select vec_id, array_to_string(a, ',') as labels, list_has_any(a, b) as overlap,
 select * from (values ('max_visited', 'BUDGET_EXCEEDED'), ('max_candidates', 'BUDGET_EXCEEDED'), ('max_rescore', 'BUDGET_EXCEEDED'),
   ('max_full_vector_bytes', 'BUDGET_EXCEEDED'), ('max_query_bytes', 'BUDGET_EXCEEDED'), ('list_under_limit', 'INVALID_ARGUMENT'), ('no_limit', 'INVALID_ARGUMENT'),
   ('wrong_size', 'DIMENSION_MISMATCH'), ('enough', 'OK')) t("case", code)""",
-    "streaming_ingest": "select vec_id + 1 as node_id, vec_id as external_id from embeddings where vec_id between 10 and 49",
+    "streaming_ingest": "select vec_id + 1 as node_id, vec_id as external_id from embeddings where vec_id % 20 <> 0",
 }
 SQL["graph_cosine_walk"] = SQL["topk_cosine"]
-#: The searches, which are also there for every row whose id is divisible by 20.
-SEARCHES = [name for name, sql in SQL.items() if f"q.vec_id < {QUERIES}" in sql]
-SQL |= {f"{name}_every_20th": SQL[name].replace(f"q.vec_id < {QUERIES}", f"q.{EVERY_20TH}") for name in SEARCHES}
-SQL["sbq_recall_every_20th"] = SQL["sbq_recall_every_20th"].replace(f"/ {float(K * QUERIES)}", f"/ ({float(K)} * (select count(*) from embeddings where {EVERY_20TH}))")
-SQL["node_reads_all"] = SQL["node_reads"].replace("select i as pos, i * 29 + 1 as node_id from range(40) t(i)", "select i as pos, i + 1 as node_id from range((select count(*) + 40 from embeddings)) t(i)")
-SQL["streaming_ingest_all"] = "select vec_id + 1 as node_id, vec_id as external_id from embeddings where vec_id % 20 <> 0"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -582,7 +544,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_insert_delete": graph_insert_delete,
         "budget_violations": budget_violations,
         "streaming_ingest": streaming_ingest,
-        "node_reads_all": reads_all,
-        "streaming_ingest_all": streaming_ingest_all,
     }
-    return found | {f"{name}_every_20th": _every_20th(found[name]) for name in SEARCHES}
+    return found

@@ -1,7 +1,10 @@
 """Tables and versioned manifests behind one small interface.
 
-A manifest is published by creating the file of the next version, which must
-not exist: that is the compare-and-swap.  Tables are written before the
+A manifest is written under a name of its own and then renamed to that of the next
+version, which must not exist: that is the compare-and-swap, and no reader ever
+sees half a manifest.  The rename is atomic and refuses an existing name on HDFS;
+on local folders the lock file keeps other writers out.  Object stores without
+such a rename need a lock of their own.  What a manifest names must be there.  Tables are written before the
 manifest that names them and never changed after, so a reader of a manifest
 sees a frozen state, and a failed writer leaves files that nothing names.
 ``FileStorage`` goes through Spark's file systems, so any path that Spark can
@@ -12,6 +15,8 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +27,20 @@ from ..errors import IndexExistsError, IndexNotFoundError, InvalidArgumentError,
 OWN = {"manifest", "segments", "deltas", "quantizers", "log", "LOCK", "state.json"}
 
 
+def check_manifest(manifest: dict, there: Callable[[str], bool]) -> None:
+    """An error if a manifest names a table twice or one that is not there, or says what cannot be."""
+    refs = [x["ref"] for x in manifest.get("segments", [])]
+    names = [f"segments/{r}" for r in refs]
+    if manifest.get("delta") is not None:
+        names += [f"deltas/{manifest['delta']}/{part}" for part in ("records", "rewrites", "tombstones")]
+    if manifest.get("quantizer") is not None:
+        names.append(f"quantizers/{manifest['quantizer']}")
+    if len(set(refs)) != len(refs) or any(x["count"] < 0 for x in manifest.get("segments", [])) or manifest.get("epoch", 0) < 0 or manifest.get("max_node", 0) < 0:
+        raise StorageError("the manifest is not valid")
+    if lacking := [n for n in names if not there(n)]:
+        raise StorageError(f"the manifest names what is not there: {', '.join(lacking)}")
+
+
 class Storage(Protocol):
     spark: SparkSession
     uid: str
@@ -55,6 +74,7 @@ class MemoryStorage:
         return json.loads(json.dumps(self.manifests[max(self.manifests)])) if self.manifests else None
 
     def publish(self, manifest: dict, expected: int) -> dict:
+        check_manifest(manifest, self.tables.__contains__)
         with self.lock:
             if max(self.manifests, default=0) != expected:
                 raise ManifestConflictError(f"version {expected} is no longer the latest")
@@ -110,26 +130,50 @@ class FileStorage:
             if not self._create("LOCK", spark.sparkContext.applicationId):
                 raise StorageError(f"{self.path} is in use")
             self.locked = True
+            self._repair()
 
     def exists(self) -> bool:
         return self.fs.exists(self._path("manifest"))
 
+    def _write(self, name: str, text: str) -> None:
+        path = self._path(name)
+        self.fs.mkdirs(path.getParent())
+        out = self.fs.create(path, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def _create(self, name: str, text: str, overwrite: bool = False) -> bool:
-        """Write a small file; False if it exists already."""
+        """Have a small file appear whole; False if it exists already and is not to be replaced."""
         path = self._path(name)
         if not overwrite and self.fs.exists(path):
             return False
-        self.fs.mkdirs(path.getParent())
+        folder, _, last = name.rpartition("/")
+        draft = f"{folder}/.{last}.{uuid.uuid4().hex}".lstrip("/")
+        self._write(draft, text)
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if overwrite else rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        qualified = lambda n: self.fs.makeQualified(self._path(n))
         try:
-            out = self.fs.create(path, overwrite)
+            context.rename(qualified(draft), qualified(name), how)
         except Exception:
+            self.fs.delete(self._path(draft), False)
             if not overwrite and self.fs.exists(path):
                 return False
             raise
-        out.write(bytearray(text.encode()))
-        out.close()
         return True
 
+    def _repair(self) -> None:
+        """Remove versions at the end that can not be read, as a writer without a rename may leave them; drafts are in nobody's way."""
+        for version in reversed(self._versions()):
+            try:
+                json.loads(self._read(f"manifest/v={version:012d}.json"))
+                return
+            except ValueError:
+                self.fs.delete(self._path(f"manifest/v={version:012d}.json"), False)
+
     def _read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:
@@ -140,13 +184,14 @@ class FileStorage:
     def _versions(self) -> list[int]:
         if not self.exists():
             return []
-        return sorted(int(s.getPath().getName()[2:-5]) for s in self.fs.listStatus(self._path("manifest")) if s.getPath().getName().endswith(".json"))
+        return sorted(int(s.getPath().getName()[2:-5]) for s in self.fs.listStatus(self._path("manifest")) if s.getPath().getName().startswith("v=") and s.getPath().getName().endswith(".json"))
 
     def latest(self) -> dict | None:
         versions = self._versions()
         return json.loads(self._read(f"manifest/v={versions[-1]:012d}.json")) if versions else None
 
     def publish(self, manifest: dict, expected: int) -> dict:
+        check_manifest(manifest, lambda name: self.fs.exists(self._path(name)))
         if max(self._versions(), default=0) != expected:
             raise ManifestConflictError(f"version {expected} is no longer the latest")
         made = manifest | {"version": expected + 1}
@@ -155,7 +200,8 @@ class FileStorage:
         return made
 
     def put(self, name: str, df: DataFrame) -> None:
-        df.write.mode("errorifexists").parquet(f"{self.path}/{name}")
+        """Names come from the latest manifest, so a table that is there already was left by an interrupted writer and goes."""
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def get(self, name: str) -> DataFrame:
         if not self.fs.exists(self._path(name)):
