@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import settle
+from .scratch import release, settle
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         drawn = links.join(ends[0], "u").select("u_to", "v").join(ends[1], "v").where("u_to <> v_to")
         links = settle(drawn.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).distinct())
         turn += 1
+        if turn % 2 == 0:
+            release(links.sparkSession)
     if at is None:
         return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     least = settle(at.groupBy("at").agg(F.min("node").alias("component")))

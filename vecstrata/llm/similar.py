@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .packing import packed, runs, unpacked
-from .scratch import sent, settle
+from .scratch import release, sent, settle
 from .simhash import SEED, dealt, link_batches
 from .words import BASE, NOT_BLANK, chunks, hashed_words, mixed
 
@@ -219,7 +219,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> Da
     sets = settle(rows.join(sent(settle(ids)), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_set_batches(words), "id bigint, held binary"))
     x, y = (sets.select(F.col("id").alias(f"of_{k}"), F.col("held").alias(f"in_{k}")) for k in ("a", "b"))
     both = pairs.join(x, F.col("a") == F.col("of_a")).join(y, F.col("b") == F.col("of_b")).select("a", "b", "in_a", "in_b")
-    return settle(both.mapInArrow(_verify_batches(least), "a bigint, b bigint").distinct())
+    found = settle(both.mapInArrow(_verify_batches(least), "a bigint, b bigint").distinct())
+    release(rows.sparkSession)
+    return found
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
@@ -235,6 +237,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made = settle(rows.mapInArrow(_print_batches(shared, words, least, slots), PRINT))
     prints = made.where("slot < 0").select("batch", "n", "doc_id", "digest", "fp", "wide", "size")
     least_ids = settle(prints.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    release(docs.sparkSession)
     nodes = prints.join(least_ids, "digest").select("batch", "n", "fp", "wide", "size", "rep")
     met = made.where("slot >= 0").select("slot", "batch", "n", "cells", "owners").repartition("slot").sortWithinPartitions("slot").mapInArrow(_met_batches, "cell bigint, batch bigint, n bigint")
     cells = settle(met.join(nodes, ["batch", "n"]).select("cell", "fp", "wide", "size", "rep").distinct())
