@@ -36,15 +36,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the driver collect its garbage after many small jobs.
-
-    Spark removes the shuffle and checkpoint files of finished steps when their
-    handles on the driver are collected, which a driver with room does late.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def sent(rows: DataFrame, most: int | None = None) -> DataFrame:
     """Settled rows of a few numbers as a side of a join: broadcast up to ``most`` of them, else for a sorted merge."""
     return F.broadcast(rows) if rows.count() <= (FEW if most is None else most) else rows.hint("merge")
