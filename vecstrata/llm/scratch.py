@@ -36,6 +36,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and the table's path.
+
+    A checkpoint keeps the size estimate of the plan that made it, and joins multiply
+    estimates, so in a loop of joins their digits grow exponentially and fill the driver;
+    a table is as large as its files.
+    """
+    path = fresh_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sent(rows: DataFrame, most: int | None = None) -> DataFrame:
     """Settled rows of a few numbers as a side of a join: broadcast up to ``most`` of them, else for a sorted merge."""
     return F.broadcast(rows) if rows.count() <= (FEW if most is None else most) else rows.hint("merge")
