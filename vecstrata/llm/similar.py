@@ -49,8 +49,8 @@ WORDS, LEAST, LIMIT = 5, 0.8, 24
 #: 64-bit hashes of a shingle that the whole SimHash is made of, and the bits of it that may differ.
 HASHES, WIDE = 4, 68
 BUCKETS, BLOCK = 1 << 22, 1 << 16
-#: Shingles that a task holds before it counts them, and that are turned to bits at a time.
-HELD, RUN = 2_000_000, 1 << 16
+#: Shingles that are turned to bits at a time.
+RUN = 1 << 16
 #: Bytes of text whose cells leave a task together; cells that a slot holds on average, and least number of slots.
 BATCH, SLOT, LEAST_SLOTS = 1 << 23, 1 << 20, 64
 PRINT = "slot bigint, batch bigint, n bigint, cells binary, owners binary, doc_id bigint, digest bigint, fp bigint, wide binary, size bigint"
@@ -100,19 +100,11 @@ def _alike(least: float):
 
 def _count_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(BUCKETS, np.uint32), []
-
-        def fold() -> None:
-            total[:] += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.uint32)
-            held.clear()
-
+        total = np.zeros(BUCKETS, np.uint32)
         for b in batches:
             for texts in chunks(t.as_py() for t in b.column(0)):
-                held += [(s & np.uint64(BUCKETS - 1)).astype(np.int64) for s in shingles(texts, words)]
-                if sum(map(len, held)) > HELD:
-                    fold()
-        if held:
-            fold()
+                for s in shingles(texts, words):
+                    np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
         for k in range(BUCKETS // BLOCK):
             part = total[k * BLOCK : (k + 1) * BLOCK]
             if part.any():
