@@ -35,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
+
 END = "</w>"
 #: Runs of text and pairs of tokens remembered by a worker; the memory is emptied when full.
 REMEMBER_RUNS, REMEMBER_PAIRS = 150_000, 300_000
@@ -295,7 +297,7 @@ def _decode_batches(path: str):
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of ``encoded``: doc_id and the text that its ids (binary, as ``encode`` makes them) decode to; null ids decode to the empty text."""
     narrow = encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("binary").alias("ids"))
-    return narrow.mapInArrow(_decode_batches(path), "doc_id bigint, decoded string")
+    return narrow.mapInArrow(lean(_decode_batches(path)), "doc_id bigint, decoded string")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,5 +308,5 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     vocabulary file, which every worker must be able to open.
     """
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = narrow.mapInArrow(_encode_batches(path), "doc_id bigint, ids binary, decoded string")
+    made = narrow.mapInArrow(lean(_encode_batches(path)), "doc_id bigint, ids binary, decoded string")
     return made.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "decoded")

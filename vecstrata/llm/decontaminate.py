@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
 from .words import chunks, hashed_words, mixed
 
 HALF, RANK, SEED = 32, 96, 7
@@ -311,15 +312,15 @@ def fit(texts: DataFrame, items: Items, rank: int = RANK) -> LatentIndex:
     """Document frequencies and singular vectors over all passages of ``texts(text)``."""
     context = texts.sparkSession.sparkContext
     shared = context.broadcast(items)
-    seen = texts.mapInArrow(_frequency_batches(shared), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    seen = texts.mapInArrow(lean(_frequency_batches(shared)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     frequency = np.zeros(len(items.terms) + 1)
     for r in seen.collect():  # one row a term of the block at most
         frequency[r.term] = r.n
     idf = np.log1p((frequency[-1] + 1) / (frequency[:-1] + 1)) / np.sqrt(frequency[:-1] + 1)
     test = np.random.default_rng(SEED).standard_normal((len(items.terms), min(rank, max(1, len(items.terms))))).astype(np.float32)
-    parts = texts.mapInArrow(_sketch_batches(shared, context.broadcast((idf, test))), "block bigint, z binary")
+    parts = texts.mapInArrow(lean(_sketch_batches(shared, context.broadcast((idf, test)))), "block bigint, z binary")
     z = np.zeros(test.shape)
-    for r in parts.repartition("block").mapInArrow(_sum_batches, "block bigint, z binary").toLocalIterator():
+    for r in parts.repartition("block").mapInArrow(lean(_sum_batches), "block bigint, z binary").toLocalIterator():
         part = np.frombuffer(r.z, "<f8").reshape(-1, test.shape[1])
         z[r.block * TERMS : r.block * TERMS + len(part)] = part
     return LatentIndex(items, idf, singular_vectors(test, z))
@@ -353,7 +354,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     for items in _blocks(benchmark, item_col, item_text_col):
         index = docs.sparkSession.sparkContext.broadcast(fit(rows.select("text"), items))
-        part = rows.mapInArrow(_search_batches(index), FOUND)
+        part = rows.mapInArrow(lean(_search_batches(index)), FOUND)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], FOUND) if found is None else found
 
@@ -377,5 +378,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     texts, kept = docs.select(F.col(text_col).cast("binary").alias("text")), docs
     for items in _blocks(benchmark, item_col, item_text_col):
         index = docs.sparkSession.sparkContext.broadcast(fit(texts, items))
-        kept = kept.mapInArrow(_clean_batches(index, docs.columns.index(text_col)), docs.schema)
+        kept = kept.mapInArrow(lean(_clean_batches(index, docs.columns.index(text_col))), docs.schema)
     return kept

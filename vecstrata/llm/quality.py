@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
+
 #: Documents that the scorer is fitted on, at most, and buckets of its trigrams and measurements.
 SAMPLE, BUCKETS = 3000, 1 << 12
 #: Added to each answer's count in either class.
@@ -221,11 +223,11 @@ def _vector_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
     """Fit both models: the labellers' over all documents, the scorer over at most ``sample``."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    answers = rows.select("text").mapInArrow(_vote_batches, "answers bigint, n bigint").groupBy("answers").agg(F.sum("n").alias("n"))
+    answers = rows.select("text").mapInArrow(lean(_vote_batches), "answers bigint, n bigint").groupBy("answers").agg(F.sum("n").alias("n"))
     labels = WeakLabels({r.answers: r.n for r in answers.collect()})
     taken = rows.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("k")).orderBy("k", "doc_id").limit(sample).select("doc_id").distinct()
     chosen = rows.join(F.broadcast(taken.withColumnRenamed("doc_id", "wanted")), F.col("doc_id") == F.col("wanted"), "left_semi").select("text").limit(sample)
-    got = chosen.mapInArrow(_vector_batches, "answers bigint, x binary").collect()
+    got = chosen.mapInArrow(lean(_vector_batches), "answers bigint, x binary").collect()
     y = np.array([labels.known[r.answers] for r in got])
     if len(y) == 0 or y.min() >= 0.5 or y.max() < 0.5:
         return QualityModel(labels, None)
@@ -247,7 +249,7 @@ def judge(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: doc_id, posterior, quality, kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_judge_batches(shared), "doc_id bigint, posterior double, quality double, kept boolean")
+    return rows.mapInArrow(lean(_judge_batches(shared)), "doc_id bigint, posterior double, quality double, kept boolean")
 
 
 def _keep_batches(shared, at: int):
@@ -263,4 +265,4 @@ def _keep_batches(shared, at: int):
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the classifier rejects, all columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col))
-    return docs.mapInArrow(_keep_batches(shared, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(lean(_keep_batches(shared, docs.columns.index(text_col))), docs.schema)

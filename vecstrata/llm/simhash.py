@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .lean import lean
 from .scratch import sent, settle
 
 SEED = 42
@@ -79,7 +80,7 @@ def _fingerprint_batches(words: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp) with the fingerprint's 64 bits as a bigint, one row per row of ``docs``."""
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(_fingerprint_batches(words), "doc_id bigint, fp bigint")
+    return narrow.mapInArrow(lean(_fingerprint_batches(words)), "doc_id bigint, fp bigint")
 
 
 def groups_for(rows: int, most: int = 3) -> int:
@@ -250,7 +251,7 @@ def dealt(cells: DataFrame) -> DataFrame:
 def near_links(rows: DataFrame, most: int = 3) -> DataFrame:
     """(a, b): links between the ``rep`` of distinct fingerprints ``rows(fp, rep)`` that span all pairs within ``most`` bits."""
     cells = _cells(rows, groups_for(rows.count(), most), most)
-    return dealt(cells).mapInArrow(link_batches(most), "a bigint, b bigint")
+    return dealt(cells).mapInArrow(lean(link_batches(most)), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:

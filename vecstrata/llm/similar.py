@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .lean import lean
 from .packing import packed, runs, unpacked
 from .scratch import sent, settle
 from .simhash import SEED, dealt, link_batches
@@ -184,8 +185,11 @@ def _met_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _set_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [s.tobytes() for texts in chunks(t.as_py() for t in b.column(1)) for s in shingles(texts, words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["id", "held"])
+            at = 0
+            for texts in chunks(t.as_py() for t in b.column(1)):
+                made = [s.tobytes() for s in shingles(texts, words)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(made)), pa.array(made, pa.binary())], names=["id", "held"])
+                at += len(made)
 
     return run
 
@@ -208,34 +212,34 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> Da
     """The pairs whose texts have the similarity."""
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = settle(rows.join(sent(settle(ids)), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_set_batches(words), "id bigint, held binary"))
+    sets = settle(rows.join(sent(settle(ids)), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lean(_set_batches(words)), "id bigint, held binary"))
     x, y = (sets.select(F.col("id").alias(f"of_{k}"), F.col("held").alias(f"in_{k}")) for k in ("a", "b"))
     both = pairs.join(x, F.col("a") == F.col("of_a")).join(y, F.col("b") == F.col("of_b")).select("a", "b", "in_a", "in_b")
-    return settle(both.mapInArrow(_verify_batches(least), "a bigint, b bigint").distinct())
+    return settle(both.mapInArrow(lean(_verify_batches(least)), "a bigint, b bigint").distinct())
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
     """(doc_id, component_id) of the rows with an id; the component is its smallest id."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
     often, total = np.zeros(BUCKETS, np.uint8), 0
-    counts = rows.select("text").mapInArrow(_count_batches(words), "block bigint, counts binary").repartition("block")
-    for r in counts.mapInArrow(_sum_batches, "block bigint, codes binary, total bigint").collect():  # BUCKETS bytes in all
+    counts = rows.select("text").mapInArrow(lean(_count_batches(words)), "block bigint, counts binary").repartition("block")
+    for r in counts.mapInArrow(lean(_sum_batches), "block bigint, codes binary, total bigint").collect():  # BUCKETS bytes in all
         often[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.codes, np.uint8)
         total += r.total
     shared = docs.sparkSession.sparkContext.broadcast(often.tobytes())
     slots = max(LEAST_SLOTS, int(total * (1 - least)) // SLOT)
-    made = settle(rows.mapInArrow(_print_batches(shared, words, least, slots), PRINT))
+    made = settle(rows.mapInArrow(lean(_print_batches(shared, words, least, slots)), PRINT))
     prints = made.where("slot < 0").select("batch", "n", "doc_id", "digest", "fp", "wide", "size")
     least_ids = settle(prints.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     nodes = prints.join(least_ids, "digest").select("batch", "n", "fp", "wide", "size", "rep")
-    met = made.where("slot >= 0").select("slot", "batch", "n", "cells", "owners").repartition("slot").sortWithinPartitions("slot").mapInArrow(_met_batches, "cell bigint, batch bigint, n bigint")
+    met = made.where("slot >= 0").select("slot", "batch", "n", "cells", "owners").repartition("slot").sortWithinPartitions("slot").mapInArrow(lean(_met_batches), "cell bigint, batch bigint, n bigint")
     cells = settle(met.join(nodes, ["batch", "n"]).select("cell", "fp", "wide", "size", "rep").distinct())
-    links = _verified(dealt(cells).mapInArrow(link_batches(limit, False, _alike(least)), "a bigint, b bigint"), rows, words, least)
+    links = _verified(dealt(cells).mapInArrow(lean(link_batches(limit, False, _alike(least))), "a bigint, b bigint"), rows, words, least)
     parts = settle(connected_components(links))
     joined = settle(cells.join(parts, F.col("rep") == F.col("node"), "left").select("cell", "fp", "wide", "size", "rep", F.coalesce("component", "rep").alias("component")))
     open_ = joined.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("cell").alias("met"))
     joined = joined.join(open_, F.col("cell") == F.col("met")).select("cell", "fp", "wide", "size", "rep", "component")
-    rest = _verified(dealt(joined).mapInArrow(link_batches(limit, True, _alike(least)), "a bigint, b bigint"), rows, words, least)
+    rest = _verified(dealt(joined).mapInArrow(lean(link_batches(limit, True, _alike(least))), "a bigint, b bigint"), rows, words, least)
     parts = connected_components(links.unionByName(rest))
     known = settle(least_ids.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component_id")))
     return prints.select("doc_id", "digest").join(known, F.col("digest") == F.col("of")).select("doc_id", "component_id")
