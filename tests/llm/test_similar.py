@@ -2,9 +2,11 @@
 
 from collections import defaultdict
 
+import numpy as np
 from brute import components
 
 import corpus_pipeline
+from vecstrata.llm.similar import _bins, _may_be
 
 
 def shingle_set(text):
@@ -55,3 +57,17 @@ def test_stage_on_edited_texts(spark):
     sets = [shingle_set(t) for t in texts]
     label = components([i for i, _ in rows], lambda i, j: similar(sets[i], sets[j]))
     assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()} == set(label)
+
+
+def test_bins_never_rule_out_similar_sets():
+    r, ruled_out = np.random.default_rng(1), 0
+    for _ in range(500):
+        a = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 400))).astype(np.uint64))
+        k = int(r.integers(0, len(a) // 4 + 1))
+        b = np.unique(np.concatenate([a[k:], r.integers(0, 1 << 63, int(r.integers(0, k + 2))).astype(np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        bins = np.stack([np.frombuffer(_bins(x), np.uint8) for x in (a, b)])
+        may = _may_be(0.8, bins, np.array([len(a), len(b)]), np.array([0]), np.array([1]))[0]
+        assert may or common < 0.8 * (len(a) + len(b) - common)
+        ruled_out += not may
+    assert ruled_out > 100

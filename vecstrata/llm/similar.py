@@ -19,8 +19,11 @@ bits are candidates.  At similarity 0.8 a bit differs with probability 0.15: 9.7
 64 bits with a deviation of 2.9, and 38.6 of 256 with 5.7, so either limit is some
 five deviations off, while texts that have a passage in common seldom pass the
 second.  First a spanning forest of each cell's candidates is verified on the
-shingle sets, and then all the candidates that are not yet in one component; a
-large group of near copies so gives no square of pairs.
+shingle sets.  Where a cell still has several components, candidates must also
+pass a certain bound: their sets are counted in ``BINS`` bins, and the smaller
+counts of each bin add up to no less than what the sets have in common.  Of
+these again a spanning forest is verified, and then all that are not yet in one
+component, so a large group of near copies gives few more pairs than rows.
 
 Defined cases: null and blank texts have no shingles and are copies of each
 other; texts with fewer words than a shingle are one shingle; words are what
@@ -50,11 +53,13 @@ WORDS, LEAST, LIMIT = 5, 0.8, 24
 #: 64-bit hashes of a shingle that the whole SimHash is made of, and the bits of it that may differ.
 HASHES, WIDE = 4, 68
 BUCKETS, BLOCK = 1 << 22, 1 << 16
+#: Bins that a shingle set is counted in; counts stop at 255, and a set that reaches it passes any bound.
+BINS = 256
 #: Shingles that are turned to bits at a time.
 RUN = 1 << 16
 #: Bytes of text whose cells leave a task together; cells that a slot holds on average, and least number of slots.
 BATCH, SLOT, LEAST_SLOTS = 1 << 23, 1 << 20, 64
-PRINT = "slot bigint, batch bigint, n bigint, cells binary, owners binary, doc_id bigint, digest bigint, fp bigint, wide binary, size bigint"
+PRINT = "slot bigint, batch bigint, n bigint, cells binary, owners binary, doc_id bigint, digest bigint, fp bigint, wide binary, bins binary, size bigint"
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -82,16 +87,36 @@ def _fingerprint(found: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(found), bitorder="little").view("<u8")
 
 
+def _bins(found: np.ndarray) -> bytes:
+    """How many shingles of a set are in each bin."""
+    at = (mixed(found) >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _may_be(least: float, bins: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs the bins do not rule out."""
+    keep = np.ones(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        x, y = bins[i[at : at + (1 << 14)]], bins[j[at : at + (1 << 14)]]
+        most = np.minimum(x, y).sum(1, dtype=np.int64)
+        both = size[i[at : at + (1 << 14)]] + size[j[at : at + (1 << 14)]]
+        keep[at : at + (1 << 14)] = (most >= least * (both - most) - 1e-9) | (x == 255).any(1) | (y == 255).any(1)
+    return keep
+
+
 def _alike(least: float):
-    """A check of pairs by their sizes and whole SimHashes."""
+    """A check of pairs by their sizes and whole SimHashes, and by their bins where the rows have them."""
 
     def checked(rows: pa.Table):
         size = rows.column("size").to_numpy()
         wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), "<u8").reshape(len(size), -1)
+        bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(len(size), -1) if "bins" in rows.column_names else None
 
         def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             keep = least * np.maximum(size[i], size[j]) <= np.minimum(size[i], size[j]) + 1e-9
             keep[keep] = np.bitwise_count(wide[i[keep]] ^ wide[j[keep]]).sum(1) <= WIDE
+            if bins is not None:
+                keep[keep] = _may_be(least, bins, size, i[keep], j[keep])
             return keep
 
         return check
@@ -140,7 +165,7 @@ def _print_batches(shared, words: int, least: float, slots: int):
         slot = (every >> np.uint64(40)) * np.uint64(slots) >> np.uint64(24)
         cuts = np.flatnonzero(np.diff(slot, prepend=np.uint64(1 << 63), append=np.uint64(1 << 63))) if len(slot) else np.zeros(1, np.int64)
         out = [(-1, batch, k, None, None, i, d - (d >> 63 << 64), *x) for k, (i, d, x) in enumerate(zip(ids, digests, prints, strict=True))]
-        out += [(int(slot[x]), batch, int(y - x), packed(np.diff(every[x:y], prepend=np.uint64(0))), packed(owner[x:y]), *[None] * 5) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        out += [(int(slot[x]), batch, int(y - x), packed(np.diff(every[x:y], prepend=np.uint64(0))), packed(owner[x:y]), *[None] * 6) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         kinds = [pa.binary() if t == "binary" else pa.int64() for _, t in (x.split() for x in PRINT.split(", "))]
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PRINT.split(", ")])
 
@@ -153,7 +178,7 @@ def _print_batches(shared, words: int, least: float, slots: int):
                 for s in shingles(texts, words):
                     digests.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                     wide = _fingerprint(s)
-                    prints.append((int(wide[:1].view("<i8")[0]), wide.tobytes(), len(s)))
+                    prints.append((int(wide[:1].view("<i8")[0]), wide.tobytes(), _bins(s), len(s)))
                     n = len(s) - ceil(least * len(s) - 1e-9) + 1 if len(s) else 0
                     cells.append(s[np.lexsort((s, often[s & np.uint64(BUCKETS - 1)]))[:n]])
                 ids += b.column(0).slice(at, len(texts)).to_pylist()
@@ -218,6 +243,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> Da
     return settle(both.mapInArrow(lean(_verify_batches(least)), "a bigint, b bigint").distinct())
 
 
+def _still_open(cells: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of the cells that have several components, with a column component."""
+    joined = settle(cells.join(parts, F.col("rep") == F.col("node"), "left").select(*cells.columns, F.coalesce("component", "rep").alias("component")))
+    several = joined.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("cell").alias("met"))
+    return joined.join(several, F.col("cell") == F.col("met")).select(*cells.columns, "component")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
     """(doc_id, component_id) of the rows with an id; the component is its smallest id."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
@@ -229,17 +261,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(often.tobytes())
     slots = max(LEAST_SLOTS, int(total * (1 - least)) // SLOT)
     made = settle(rows.mapInArrow(lean(_print_batches(shared, words, least, slots)), PRINT))
-    prints = made.where("slot < 0").select("batch", "n", "doc_id", "digest", "fp", "wide", "size")
+    prints = made.where("slot < 0").select("batch", "n", "doc_id", "digest", "fp", "wide", "bins", "size")
     least_ids = settle(prints.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    nodes = prints.join(least_ids, "digest").select("batch", "n", "fp", "wide", "size", "rep")
+    nodes = prints.join(least_ids, "digest").select("batch", "n", "fp", "wide", "bins", "size", "rep")
     met = made.where("slot >= 0").select("slot", "batch", "n", "cells", "owners").repartition("slot").sortWithinPartitions("slot").mapInArrow(lean(_met_batches), "cell bigint, batch bigint, n bigint")
     cells = settle(met.join(nodes, ["batch", "n"]).select("cell", "fp", "wide", "size", "rep").distinct())
     links = _verified(dealt(cells).mapInArrow(lean(link_batches(limit, False, _alike(least))), "a bigint, b bigint"), rows, words, least)
     parts = settle(connected_components(links))
-    joined = settle(cells.join(parts, F.col("rep") == F.col("node"), "left").select("cell", "fp", "wide", "size", "rep", F.coalesce("component", "rep").alias("component")))
-    open_ = joined.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("cell").alias("met"))
-    joined = joined.join(open_, F.col("cell") == F.col("met")).select("cell", "fp", "wide", "size", "rep", "component")
-    rest = _verified(dealt(joined).mapInArrow(lean(link_batches(limit, True, _alike(least))), "a bigint, b bigint"), rows, words, least)
+    kinds = nodes.select("rep", "wide", "size", "bins").dropDuplicates(["rep", "wide", "size"])
+    held = settle(_still_open(cells, parts).join(kinds, ["rep", "wide", "size"]).select("cell", "fp", "wide", "size", "bins", "rep"))
+    links = links.unionByName(_verified(dealt(held).mapInArrow(lean(link_batches(limit, False, _alike(least))), "a bigint, b bigint"), rows, words, least))
+    held = settle(_still_open(held, settle(connected_components(links))))
+    rest = _verified(dealt(held).mapInArrow(lean(link_batches(limit, True, _alike(least))), "a bigint, b bigint"), rows, words, least)
     parts = connected_components(links.unionByName(rest))
     known = settle(least_ids.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component_id")))
     return prints.select("doc_id", "digest").join(known, F.col("digest") == F.col("of")).select("doc_id", "component_id")
