@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode
+from .codes import compress, digest_columns
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .html_extract import extract
@@ -100,6 +101,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(compress(table(spark, sf_dir, "embeddings")))
+
+
+def _op11_sql() -> str:
+    """Each round: the nearest entry by (distance, index) as one number, then floored means; vectors of 64 components in 16 parts of 4."""
+    far = "(p.x0 - c.x0) * (p.x0 - c.x0) + (p.x1 - c.x1) * (p.x1 - c.x1) + (p.x2 - c.x2) * (p.x2 - c.x2) + (p.x3 - c.x3) * (p.x3 - c.x3)"
+    means = ", ".join(f"case when count(a.e) = 0 then any_value(c.x{j}) else ((sum(p.x{j}) - ((sum(p.x{j}) % count(a.e)) + count(a.e)) % count(a.e)) // count(a.e))::bigint end as x{j}" for j in range(4))
+    steps = []
+    for k in range(3):
+        steps.append(f"n{k} as materialized (select p.vec_id, p.part, min(({far}) * 64 + c.e) as m from p join c{k} c using (part) group by all)")
+        steps.append(f"a{k} as materialized (select vec_id, part, m % 64 as e, m // 64 as d from n{k})")
+        if k < 2:
+            steps.append(f"c{k + 1} as materialized (select c.part, c.e, {means} from c{k} c left join a{k} a on a.part = c.part and a.e = c.e left join p on p.vec_id = a.vec_id and p.part = a.part group by c.part, c.e)")
+    return f"""
+with r as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, part, v[4 * part + 1] as x0, v[4 * part + 2] as x1, v[4 * part + 3] as x2, v[4 * part + 4] as x3 from r, range(16) t(part)),
+c0 as materialized (select * from (select part, row_number() over (partition by part order by vec_id) - 1 as e, x0, x1, x2, x3 from p) where e < 64),
+{", ".join(steps)},
+coded as (select vec_id, string_agg(printf('%02x', e::int), '' order by part) as code, sum(d)::bigint as error from a2 group by vec_id),
+book as (select sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' order by part, e)) as codebooks_sha256 from c2)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded join r using (vec_id), book"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -112,8 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_html": op9_html,
         "op10_decontamination": op10_decontamination,
+        "op11_vector_codes": op11_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_warc": OP6_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op11_vector_codes": _op11_sql()}
