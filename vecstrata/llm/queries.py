@@ -14,6 +14,7 @@ from .exact_dedup import exact_groups
 from .html_extract import extract
 from .licenses import licenses
 from .lm_score import score
+from .phrases import collocations
 from .quality import judge, train
 from .scratch import settle, table
 from .sharding import interleaved_shards
@@ -127,6 +128,35 @@ book as (select sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' order by p
 select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded join r using (vec_id), book"""
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+said as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+spans as (select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from said, range(1, 5) t(k)),
+f as materialized (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as a from spans group by all),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+c as materialized (select * from f where k > 1 and a >= 30),
+cuts as (
+  select c.lang, c.phrase, c.a, j, array_to_string(string_split(c.phrase, ' ')[:j], ' ') as head, array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ') as rest
+  from c, range(1, 4) t(j) where j < c.k),
+cut_scores as (
+  select u.lang, u.phrase, u.a, u.j, x.a as l, y.a as r, (2000000::hugeint * u.a // (x.a + y.a))::bigint as score
+  from cuts u join f x on x.lang = u.lang and x.phrase = u.head join f y on y.lang = u.lang and y.phrase = u.rest),
+best as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as o from cut_scores) where o = 1),
+inside as (
+  select c.lang, array_to_string(string_split(c.phrase, ' ')[i:i + m - 1], ' ') as phrase, max(c.a) as around
+  from c, range(2, 4) t(m), range(1, 4) s(i) where m < c.k and i + m - 1 <= c.k group by all),
+ranked as (
+  select b.*, row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank
+  from best b left join inside s on s.lang = b.lang and s.phrase = b.phrase where s.around is null or 100::hugeint * s.around < 80::hugeint * b.a)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -140,8 +170,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html": op9_html,
         "op10_decontamination": op10_decontamination,
         "op11_vector_codes": op11_vector_codes,
+        "op12_collocations": op12_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op11_vector_codes": _op11_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op11_vector_codes": _op11_sql(), "op12_collocations": OP12_SQL}
