@@ -11,6 +11,7 @@ from .bpe import encode
 from .codes import compress, digest_columns
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
+from .fingerprints import fingerprints
 from .html_extract import extract
 from .licenses import licenses
 from .lm_score import score
@@ -157,6 +158,28 @@ select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) whe
 """
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def _op13_sql() -> str:
+    """The likeness by sets of digests, which peeled sketches must give exactly."""
+    check = "(({x} % 2147483647) * 1000003 + ({x} % 998244353) * 7919) % 4294967296"
+    own = "list_filter({d}, lambda x: (x >> (20 + 3 * (c // 8)::int)) & 7 = c % 8)"
+    xor = lambda items: f"coalesce(list_aggregate({items}, 'bit_xor'), 0)"
+    cell = f"concat(len({own}), ':', {xor(own)}, ':', {xor(f'list_transform({own}, lambda x: {check.format(x="x")})')})"
+    shown = lambda d: f"array_to_string(list_transform(range(24), lambda c: {cell.format(d=d)}), ' ')"
+    digests = lambda t: f"list_distinct(list_transform(list_filter(flatten(list_transform(string_split({t}, chr(10)), lambda x: case when length(x) > 1000 then regexp_split_to_array(x, '[.!?] ') else [x] end)), lambda x: x <> ''), lambda x: ('0x' || md5(x)[1:15])::bigint))"
+    near = lambda a, b: f"case when len({a}) + len({b}) = 0 then 1.0 else len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))) end::double"
+    return f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+n as (select doc_id, text, length(text) as n, coalesce(lead(text) over w, first_value(text) over w) as next from t window w as (order by doc_id desc)),
+e as (select doc_id, n, text, next, substring(text, 1, n - n // 2) || substring(next, 1, n // 2) as edited from n),
+d as materialized (select doc_id, n, edited, {digests("text")} as a, {digests("edited")} as b, {digests("next")} as c from e)
+select doc_id, n as n_chars, sha256(edited) as edited_sha256, {shown("a")} as fingerprint, {shown("b")} as edited_fingerprint, {near("a", "b")} as near_edited, {near("a", "d.c")} as near_next from d"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -171,8 +194,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": op10_decontamination,
         "op11_vector_codes": op11_vector_codes,
         "op12_collocations": op12_collocations,
+        "op13_fingerprints": op13_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op11_vector_codes": _op11_sql(), "op12_collocations": OP12_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op11_vector_codes": _op11_sql(), "op12_collocations": OP12_SQL, "op13_fingerprints": _op13_sql()}
