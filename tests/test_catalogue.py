@@ -18,6 +18,13 @@ def test_matches_sql(spark, con, name):
     same(catalogue.queries()[name](spark, FOLDER), con, catalogue.SQL[name])
 
 
+@pytest.mark.parametrize("name", ["topk_cosine", "cosine_normalised", "topk_l2", "topk_inner_product", "sbq_two_phase"])
+def test_matches_sql_on_more_rows(spark, name):
+    """Distances that lie near a rounding step only show on more rows than the smallest table has."""
+    folder = "/root/testdata/sf0.01"
+    same(catalogue.queries()[name](spark, folder), connect(folder), catalogue.SQL[name])
+
+
 def test_every_query_is_listed(spark):
     import __spark_entry__ as e
 

@@ -442,11 +442,19 @@ from sizes s left join hits h using (list_size) left join truth t on t.query_id
 
 
 NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
+
+
+def _divisor(v: str) -> str:
+    """What a vector is divided by for cosine: 1 if it is of unit length up to rounding, or zero."""
+    n = NORM.format(v=v)
+    return f"case when abs({n} * {n} - 1) <= 64 * 1.1920928955078125e-07 or {n} * {n} < 1.1920928955078125e-07 then 1.0 else {n} end"
+
+
 SCALED = "list_transform(embedding::double[], lambda x: x * (1 + vec_id % 5))"
 
 SQL = {
     "topk_l2": _topk_sql(L2),
-    "topk_cosine": _topk_sql(f"greatest(0, 1 - {DOT} / ({NORM.format(v='q.embedding::double[]')} * {NORM.format(v='e.embedding::double[]')}))"),
+    "topk_cosine": _topk_sql(f"greatest(0, 1 - {DOT} / ({_divisor('q.embedding::double[]')} * {_divisor('e.embedding::double[]')}))"),
     "topk_inner_product": _topk_sql("-" + DOT),
     "topk_l2_filtered": _topk_sql(L2, "e.label in (1, 3)"),
     "topk_empty_filter": _topk_sql(L2),
