@@ -42,6 +42,25 @@ def test_scores_are_those_of_exact_counts(spark, tmp_path, monkeypatch):
     compare(rows, chosen, spark.read.parquet(f"{tmp_path}/docs"), targets)
 
 
+def test_targets_joined_by_a_shuffle_over_many_partitions(spark, tmp_path, monkeypatch):
+    """Without adaptive coalescing the merge join deals a batch over partitions; its rows must come together again."""
+    rows = [(k, " ".join(f"w{(k * 17 + j * j) % 301}" for j in range(200))) for k in range(300)]
+    chosen = set(range(0, 300, 3))
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    targets = spark.createDataFrame([(k,) for k in chosen], "doc_id bigint")
+    monkeypatch.setattr(lm_score, "TARGETS", 1)
+    monkeypatch.setattr(lm_score, "BATCH", 1 << 15)
+    monkeypatch.setattr(lm_score, "LEAST_BATCH", 1 << 13)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        compare(rows, chosen, spark.read.parquet(f"{tmp_path}/docs"), targets)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_query_on_documents(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")

@@ -21,8 +21,9 @@ batches; the number of answers is compared with the number of n-grams all the
 same.  An input that is not a scan of files is written to the shared folder
 first and read from there.
 
-Target ids are broadcast up to ``TARGETS`` of them and joined by a shuffle
-beyond; the result is the same.
+Target ids are broadcast up to ``TARGETS`` of them.  Beyond, they are joined by a
+shuffle, and a second one brings the rows of a batch together again; the result is
+the same.
 
 Defined cases: null and empty texts have no tokens and null losses; a document
 named twice in the targets counts once; target ids without a document or null
@@ -143,9 +144,15 @@ def _score_batches(every: int, wanted: int, vocabulary: int):
 
 
 def _flagged(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """``rows`` with a column ``wanted``: whether the id is a target's."""
+    """``rows(batch, doc_id, text)`` with a column ``wanted``: whether the id is a target's; the rows of a batch stay together.
+
+    A broadcast leaves the rows where they are.  A merge join deals them out by id,
+    so they are brought together by batch again.
+    """
     chosen = settle(targets.select(F.col(targets.columns[0]).cast("bigint").alias("of")).where("of is not null").distinct())
-    return rows.join(sent(chosen, TARGETS), F.col("doc_id") == F.col("of"), "left").withColumn("wanted", F.col("of").isNotNull()).drop("of")
+    side = sent(chosen, TARGETS)
+    joined = rows.join(side, F.col("doc_id") == F.col("of"), "left").withColumn("wanted", F.col("of").isNotNull()).drop("of")
+    return joined if chosen.count() <= TARGETS else joined.repartition("batch").sortWithinPartitions("batch")
 
 
 def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
