@@ -47,7 +47,7 @@ from .words import CHUNK, LOWER, _powers_to, mixed
 
 MOST_WORDS = 4
 #: Bytes of text of a block, at most, but for a longer text.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Pointers that a slot stands for, and slots at least.
 SLOT, LEAST_SLOTS = 1 << 20, 64
 #: Bits of the filter of frequent words, at most.
