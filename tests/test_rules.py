@@ -161,7 +161,7 @@ def test_a_manifest_must_name_what_is_there(spark, tmp_path):
     for uri in ("memory:", f"file:{tmp_path}/y"):
         with VectorIndex.create(spark, uri, IndexConfig(2)) as index:
             m = index.storage.latest()
-            for wrong in ({"segments": [{"ref": 77, "count": 1}]}, {"delta": 5}, {"quantizer": 9}, {"epoch": -1}):
+            for wrong in ({"segments": [{"ref": 77, "count": 1}]}, {"changes": [{"ref": 5, "count": 1}]}, {"quantizer": 9}, {"epoch": -1}):
                 with pytest.raises(StorageError):
                     index.storage.publish(json.loads(json.dumps(m)) | wrong, m["version"])
             assert index.storage.latest() == m

@@ -1,8 +1,9 @@
 """``VectorIndex``: build, search and change a collection of vectors.
 
 Every read names a snapshot, a published manifest; writers make new tables and
-publish the next manifest.  A hot delta is always made from the manifest's
-delta and the batch, never from process state.
+publish the next manifest.  A change is a set of rows of its own, as large as the
+batch and the lists that it touches; a manifest names its change sets in order, a
+read merges them, and ``compact`` makes one of them.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ from .functions.quantize import bit_words, sbq_bits, thresholds, train_statistic
 from .functions.vectors import is_valid_vector, label_set, normalised, prefix, valid_node
 from .operators.shards import NODES, build_nodes, link_new, reachable, walk
 from .plans.exact import exact_topk
-from .plans.visibility import first_segment, node_reads, visible_nodes
-from .sources.storage import FileStorage, Storage, destroy_uri, open_uri, parse_uri
+from .plans.numbering import numbered
+from .plans.registry import REGISTRY, checked_quantizer, next_version
+from .plans.visibility import FEW_CHANGES, first_segment, merged_changes, node_reads, visible_nodes
+from .sources.storage import MOST_BUCKETS, FileStorage, Storage, destroy_uri, open_uri, parse_uri
 
 LOG = "log_offset bigint, op string, node_id bigint, external_id bigint, full_vector array<float>, labels array<smallint>"
+#: Rows of a change set.
+CHANGES = f"{NODES}, kind string, epoch bigint"
 
 
 @dataclass(frozen=True)
@@ -37,26 +42,6 @@ class Snapshot:
         return self.manifest["version"]
 
 
-def numbered(df: DataFrame, order: list[str], first: int, name: str = "node_id") -> DataFrame:
-    """Consecutive numbers from ``first`` in the given order, without a task that sees all rows.
-
-    Rows are cut into sorted ranges and written once; the ranges' sizes, a
-    number for each partition, give where each range starts.
-    """
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        held = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
-    else:
-        held = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
-    sizes = dict(held.groupBy("_range").count().collect())
-    starts, at = {}, first
-    for k in sorted(sizes):
-        starts[k] = at
-        at += sizes[k]
-    start = F.coalesce(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]).cast("map<int,bigint>")[F.col("_range")], F.lit(first)) if starts else F.lit(first)
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return held.withColumn(name, (start + place - 1).cast("bigint")).drop("_range")
-
-
 class VectorIndex:
     def __init__(self, storage: Storage, config: IndexConfig):
         self.storage, self.config, self.spark = storage, config, storage.spark
@@ -76,7 +61,7 @@ class VectorIndex:
 
     @staticmethod
     def _empty(config: IndexConfig) -> dict:
-        return {"config": config.to_dict(), "starts": {}, "segments": [], "delta": None, "epoch": 0, "quantizer": None, "max_node": 0, "applied": -1, "next_ref": 1}
+        return {"config": config.to_dict(), "starts": {}, "segments": [], "changes": [], "epoch": 0, "quantizer": None, "max_node": 0, "applied": -1, "next_ref": 1}
 
     @classmethod
     def open(cls, spark: SparkSession, uri: str, config: IndexConfig | None = None) -> VectorIndex:
@@ -135,13 +120,20 @@ class VectorIndex:
 
     # -- reading ---------------------------------------------------------
 
+    def _changes(self, m: dict) -> DataFrame | None:
+        """The rows of all change sets of a manifest; a later set has a larger ``set_pos``."""
+        out = None
+        for change in m["changes"]:
+            try:
+                part = self.storage.get(f"deltas/{change['ref']}", self.config.shards)
+            except StorageError as e:
+                raise SnapshotExpiredError(f"version {m['version']}") from e
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def _delta(self, m: dict, part: str) -> DataFrame | None:
-        if m["delta"] is None:
-            return None
-        try:
-            return self.storage.get(f"deltas/{m['delta']}/{part}")
-        except StorageError as e:
-            raise SnapshotExpiredError(f"version {m['version']}") from e
+        changes = self._changes(m)
+        return None if changes is None else dict(zip(("records", "rewrites", "tombstones"), merged_changes(changes), strict=True))[part]
 
     def nodes(self, snapshot: Snapshot | None = None) -> DataFrame:
         """The node rows that a snapshot shows."""
@@ -166,7 +158,7 @@ class VectorIndex:
         base = None
         for pos, segment in enumerate(m["segments"]):
             try:
-                part = self.storage.get(f"segments/{segment['ref']}").withColumn("seg_pos", F.lit(pos))
+                part = self.storage.get(f"segments/{segment['ref']}", self.config.shards).withColumn("seg_pos", F.lit(pos))
             except StorageError as e:
                 raise SnapshotExpiredError(f"version {m['version']}") from e
             base = part if base is None else base.unionByName(part)
@@ -174,7 +166,12 @@ class VectorIndex:
             base = self.spark.createDataFrame([], NODES)
         else:
             base = first_segment(base) if len(m["segments"]) > 1 else base.drop("seg_pos")
-        return visible_nodes(base, self._delta(m, "records"), self._delta(m, "rewrites"), self._delta(m, "tombstones"), m["epoch"])
+        changes = self._changes(m)
+        if changes is None:
+            return base
+        records, rewrites, tombstones = merged_changes(changes)
+        laid_out = records.repartition(min(self.config.shards, MOST_BUCKETS), "shard")  # as the segments are, which then stay where they are
+        return visible_nodes(base, laid_out, rewrites, tombstones, m["epoch"], sum(c["count"] for c in m["changes"]) <= FEW_CHANGES)
 
     def read_nodes(self, node_ids: list[int], snapshot: Snapshot | None = None, budget: QueryBudget | None = None, columns: list[str] | None = None) -> DataFrame:
         """(pos, node_id, status, columns): a row for each requested id, in request order by ``pos``."""
@@ -273,9 +270,17 @@ class VectorIndex:
             return None
         if self._quantizer[0] != m["quantizer"]:  # the one in use is kept
             stored = self.storage.get(f"quantizers/{m['quantizer']}").first()
+            checked_quantizer(stored, self.config.routing_dimensions, self.config.quantizer)
             self._quantizer = m["quantizer"], (stored["count"], list(stored["mean"]), list(stored["m2"]))
         return self._quantizer[1]
 
+    def quantizers(self) -> DataFrame:
+        """All stored quantizers: ref, scope, version, shape and statistics."""
+        out = self.spark.createDataFrame([], REGISTRY)
+        for name in self.storage.names("quantizers"):
+            out = out.unionByName(self.storage.get(f"quantizers/{name}"))
+        return out
+
     def _encoded(self, rows: DataFrame, stats: tuple | None) -> DataFrame:
         """Node rows without edges from (node_id, external_id, vector, labels)."""
         c, head = self.config, prefix(F.col("vector"), self.config.routing_dimensions)
@@ -313,11 +318,12 @@ class VectorIndex:
                 stats = thresholds(train_statistics(head)) if self.config.quantizer.use_mean else (0, [], [])
                 if stats[0] or not self.config.quantizer.use_mean:
                     quantizer = ref
-                    made = [(ref, "index", 1, self.config.routing_dimensions, self.config.quantizer.bits, self.config.quantizer.use_mean, *stats)]
-                    schema = "ref bigint, scope string, version bigint, dimensions int, bits_per_dimension int, use_mean boolean, count bigint, mean array<double>, m2 array<double>"
-                    self.storage.put(f"quantizers/{ref}", self.spark.createDataFrame(made, schema))
+                    scope = "index"
+                    version = next_version(self.quantizers(), scope)
+                    made = [(ref, scope, version, self.config.routing_dimensions, self.config.quantizer.bits, self.config.quantizer.use_mean, *stats)]
+                    self.storage.put(f"quantizers/{ref}", self.spark.createDataFrame(made, REGISTRY))
             nodes = self._encoded(rows, stats)
-            self.storage.put(f"segments/{ref}", build_nodes(nodes, self.config))
+            self.storage.put(f"segments/{ref}", build_nodes(nodes, self.config), self.config.shards)
             stored = self.storage.get(f"segments/{ref}")
             count, last = stored.agg(F.count(F.lit(1)), F.max("node_id")).first()
             made = self._empty(self.config) | {
@@ -365,19 +371,38 @@ class VectorIndex:
         self.storage.set_state(state | {"next": first + size, "first": state.get("first", 0), "max_node": max(state.get("max_node", 0), last or 0)})
         return first + size - 1
 
-    def _publish_delta(self, m: dict, records: DataFrame, rewrites: DataFrame, tombstones: DataFrame, change: dict) -> Snapshot:
+    def _publish_changes(self, m: dict, rows: DataFrame, change: dict, chain: list[dict] | None = None) -> Snapshot:
+        """Write a change set and publish it at the end of the chain (or of ``chain``)."""
         ref = m["next_ref"]
-        for part, df in (("records", records), ("rewrites", rewrites), ("tombstones", tombstones)):
-            self.storage.put(f"deltas/{ref}/{part}", df)
-        return Snapshot(self.storage.publish(m | change | {"delta": ref, "next_ref": ref + 1}, m["version"]), self.storage.uid)
+        self.storage.put(f"deltas/{ref}", rows.withColumn("set_pos", F.lit(ref).cast("bigint")), self.config.shards)
+        count = self.storage.get(f"deltas/{ref}").count()
+        chain = [*(m["changes"] if chain is None else chain), {"ref": ref, "count": count}]
+        return Snapshot(self.storage.publish(m | change | {"changes": chain, "next_ref": ref + 1}, m["version"]), self.storage.uid)
+
+    def _change_rows(self, records: DataFrame | None = None, rewrites: DataFrame | None = None, tombstones: DataFrame | None = None) -> DataFrame:
+        """Rows of a change set; what a kind of row has no value for is null."""
+        out = self.spark.createDataFrame([], CHANGES)
+        shard = ((F.col("node_id") - 1) % self.config.shards).cast("int").alias("shard")
+        for kind, df in (("record", records), ("rewrite", rewrites), ("tombstone", tombstones)):
+            if df is not None:
+                rows = df if "shard" in df.columns else df.select("*", shard)
+                out = out.unionByName(rows.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+        return out
 
     def _parts(self, m: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
-        make = self.spark.createDataFrame
-        return (
-            self._delta(m, "records") or make([], NODES),
-            self._delta(m, "rewrites") or make([], "node_id bigint, neighbors array<bigint>"),
-            self._delta(m, "tombstones") or make([], "node_id bigint, epoch bigint"),
-        )
+        changes = self._changes(m)
+        return merged_changes(self.spark.createDataFrame([], CHANGES + ", set_pos bigint") if changes is None else changes)
+
+    def compact(self) -> Snapshot:
+        """Make one change set of the chain; removed records and lists of removed rows go. What is visible stays the same."""
+        with self._lock:
+            m = self._pinned(None)
+            if len(m["changes"]) < 2:
+                return Snapshot(m, self.storage.uid)
+            records, rewrites, tombstones = self._parts(m)
+            dead = tombstones.select("node_id").distinct()
+            live = [df.join(dead, "node_id", "left_anti") for df in (records, rewrites)]
+            return self._publish_changes(m, self._change_rows(*live, tombstones), {}, [])
 
     def _insert(self, m: dict, rows: DataFrame, applied: int) -> Snapshot:
         stats = self._statistics(m)
@@ -388,12 +413,9 @@ class VectorIndex:
         near = self._nodes(m).join(touched, "shard", "left_semi")
         all_rows = near.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
         changed = link_new(all_rows, self.config, m["starts"]).persist()
-        records, rewrites, tombstones = self._parts(m)
-        new = changed.select("node_id", F.col("neighbors").alias("_new"))
-        hot = records.unionByName(fresh)
-        hot = hot.join(new, "node_id", "left").withColumn("neighbors", F.coalesce("_new", "neighbors")).select(*fresh.columns)
-        cold = changed.where("not is_new").select("node_id", "neighbors").join(records.select("node_id"), "node_id", "left_anti")
-        edges = rewrites.join(cold.select("node_id"), "node_id", "left_anti").unionByName(cold)
+        linked = changed.where("is_new").select("node_id", F.col("neighbors").alias("_new"))
+        hot = fresh.join(linked, "node_id", "left").withColumn("neighbors", F.coalesce("_new", "neighbors")).select(*fresh.columns)
+        edges = changed.where("not is_new").select("node_id", "neighbors")
         starts = {k: {"default": v["default"], "labeled": dict(v["labeled"])} for k, v in m["starts"].items()}
         for shard, own in self._first_nodes(fresh).items():
             if starts.get(shard, {}).get("default") is None:
@@ -402,19 +424,15 @@ class VectorIndex:
                 for label, node in own["labeled"].items():
                     starts[shard]["labeled"].setdefault(label, node)
         last = fresh.agg(F.max("node_id")).first()[0]
-        out = self._publish_delta(m, hot, edges, tombstones, {"starts": starts, "max_node": max(m["max_node"], last or 0), "applied": max(m["applied"], applied)})
+        out = self._publish_changes(m, self._change_rows(hot, edges), {"starts": starts, "max_node": max(m["max_node"], last or 0), "applied": max(m["applied"], applied)})
         changed.unpersist()
         return out
 
     def _delete(self, m: dict, gone: DataFrame, applied: int) -> Snapshot:
-        records, rewrites, tombstones = self._parts(m)
         epoch = m["epoch"] + 1
         dead = gone.select("node_id", F.lit(epoch).cast("bigint").alias("epoch"))
         starts = self._repaired(m, gone)
-        return self._publish_delta(
-            m, records.join(gone, "node_id", "left_anti"), rewrites.join(gone, "node_id", "left_anti"),
-            tombstones.unionByName(dead), {"starts": starts, "epoch": epoch, "applied": max(m["applied"], applied)},
-        )
+        return self._publish_changes(m, self._change_rows(tombstones=dead), {"starts": starts, "epoch": epoch, "applied": max(m["applied"], applied)})
 
     def _repaired(self, m: dict, gone: DataFrame) -> dict:
         """Entry nodes without the removed ones: the first of a breadth-first search that can stand in."""
@@ -508,15 +526,17 @@ class VectorIndex:
     def recovered_high_water(self) -> int:
         """The largest node id ever given out, from the tables instead of the manifest."""
         m = self._pinned(None)
-        found = [t.agg(F.max("node_id")).first()[0] for t in (self._visible(m | {"delta": None}), self._parts(m)[0], self._parts(m)[2])]
+        found = [t.agg(F.max("node_id")).first()[0] for t in (self._visible(m | {"changes": []}), self._parts(m)[0], self._parts(m)[2])]
         return max((x for x in found if x is not None), default=0)
 
     def vacuum(self, retain: int = 2) -> None:
-        """Drop all deltas but the newest ``retain`` and the current one; older snapshots expire."""
-        current = self.storage.latest()["delta"]
+        """Make one change set of a chain of more than ``retain``, then drop all but the newest ``retain`` and the latest manifest's; older snapshots expire."""
+        if len(self.storage.latest()["changes"]) > max(retain, 1):
+            self.compact()
+        current = {c["ref"] for c in self.storage.latest()["changes"]}
         refs = sorted(int(x) for x in self.storage.names("deltas"))
         for ref in refs[:-retain] if retain else refs:
-            if ref != current:
+            if ref not in current:
                 self.storage.drop(f"deltas/{ref}")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import IndexConfig, SearchOptions
 from ..functions.quantize import encode_matrix
 from ..plans.exact import matrix, query_blocks, ranked, unit
+from ..plans.numbering import numbered
 from .graph import Graph
 
 NODES = "node_id bigint, external_id bigint, full_vector array<float>, routing_plain array<float>, routing_sbq array<bigint>, labels array<smallint>, neighbors array<bigint>, shard int"
@@ -180,3 +181,47 @@ def reachable_by_joins(edges: DataFrame, starts: DataFrame) -> DataFrame:
         frontier = frontier.join(links, "node_id").select(F.col("to").alias("node_id")).distinct().join(seen, "node_id", "left_anti").checkpoint()
         seen = seen.unionByName(frontier).checkpoint()
     return seen
+
+
+def reachable_bounded(nodes: DataFrame, starts: DataFrame, max_visited: int, max_candidates: int) -> DataFrame:
+    """(node_id, rank, level, present, truncated): the nodes that a bounded breadth-first search visits, a join for each level.
+
+    ``rank`` is the place in a first-in-first-out queue: entries in order of id, then
+    neighbours in the order of (place of the node that names them first, place in its
+    list).  At most ``max_visited`` places are visited, ids without a row among them,
+    and at most ``max_candidates`` are queued beyond the entries; ``truncated`` says
+    that either limit left something out.  Ranks come from sorted ranges and their
+    sizes, so no task sees a whole level.
+    """
+    spark = nodes.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        raise ValueError("set spark.checkpoint.dir: the frontier is written after each level")
+    links = nodes.select("node_id", F.posexplode("neighbors").alias("place", "to"))
+    frontier = numbered(starts.select("node_id").distinct(), ["node_id"], 0, "rank").withColumn("level", F.lit(0)).checkpoint()
+    queued, met, level = frontier, None, 0
+    size = total = frontier.count()
+    visited, truncated = 0, False
+    while size:
+        room = max_visited - visited
+        if room <= 0:
+            truncated = True
+            break
+        taken = frontier.where(F.col("rank") < visited + room) if size > room else frontier
+        met = taken if met is None else met.unionByName(taken)
+        visited += min(size, room)
+        named = taken.join(links, "node_id").groupBy(F.col("to").alias("node_id")).agg(F.min(F.struct("rank", "place")).alias("by"))
+        fresh = named.join(queued.select("node_id"), "node_id", "left_anti").select("node_id", F.col("by.rank").alias("of"), F.col("by.place").alias("place"))
+        level += 1
+        new = numbered(fresh, ["of", "place"], total, "rank").select("node_id", "rank", F.lit(level).alias("level"))
+        space = max(0, max_candidates - total)
+        found = new.count()
+        truncated |= found > space or size > room
+        new = new.where(F.col("rank") < total + space).checkpoint()
+        if size > room:
+            break
+        queued, frontier, size = queued.unionByName(new), new, min(found, space)
+        total += size
+    if met is None:
+        met = frontier.where(F.lit(False))
+    here = nodes.select("node_id", F.lit(True).alias("present"))
+    return met.join(here, "node_id", "left").select("node_id", "rank", F.col("level").cast("bigint").alias("level"), F.coalesce("present", F.lit(False)).alias("present"), F.lit(truncated).alias("truncated"))

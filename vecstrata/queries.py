@@ -19,8 +19,9 @@ from .errors import VectorIndexError
 from .functions import contains_intersection, cosine_norm, is_valid_vector, label_set, normalised, prefix, sbq_bits, sbq_ones, train_statistics
 from .functions.quantize import bit_words, thresholds
 from .index import VectorIndex
-from .operators.shards import reachable_by_joins
+from .operators.shards import reachable_bounded, reachable_by_joins
 from .plans import exact_topk, fold_mutations, node_reads, rescore, two_phase_topk, visible_nodes
+from .plans.registry import REGISTRY, latest, ones_by_scope, registered, train_scopes
 
 K = 10
 #: The rows that searches ask for.
@@ -227,25 +228,23 @@ def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- graphs ------------------------------------------------------------------
 
 
-#: Indexes that queries of one session have built, the last two of them.
-_kept: dict[tuple, VectorIndex] = {}
+#: Rows that a shard of the queries' indexes has at most, so that their work is dealt over more tasks with more rows.
+SHARD_ROWS = 125
+
+
+def _shards(n: int) -> int:
+    return n // SHARD_ROWS + 1
 
 
 def _built(spark: SparkSession, sf_dir: str, **config) -> tuple[VectorIndex, DataFrame, int]:
-    """An index over all rows, in memory, the queries, and the number of rows; queries that need the same index share it."""
+    """An index over all rows, in memory, the queries, and the number of rows."""
     e = _embeddings(spark, sf_dir)
-    key = spark.sparkContext.applicationId, sf_dir, IndexConfig(64, **BUILD | config)
-    if key not in _kept:
-        labels = {"labels": F.array(F.col("label").cast("smallint"))} if config.get("has_labels") else {}
-        rows = e.select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("vector"), *[c.alias(n) for n, c in labels.items()])
-        while len(_kept) > 1:
-            old = next(iter(_kept))
-            index = _kept.pop(old)
-            if old[0] == key[0]:
-                index.close()
-        _kept[key] = VectorIndex.create(spark, "memory:", key[2])
-        _kept[key].bulk_build(rows)
-    return _kept[key], _asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.count()
+    n = e.count()
+    labels = {"labels": F.array(F.col("label").cast("smallint"))} if config.get("has_labels") else {}
+    rows = e.select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("vector"), *[c.alias(name) for name, c in labels.items()])
+    index = VectorIndex.create(spark, "memory:", IndexConfig(64, **BUILD | {"shards": _shards(n)} | config))
+    index.bulk_build(rows)
+    return index, _asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), n
 
 
 def _budget(n: int) -> QueryBudget:
@@ -287,13 +286,11 @@ def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_reachable_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first node of each shard."""
     index, _, _ = _built(spark, sf_dir)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vecstrata-"))
+    _checkpointed(spark)
     nodes = index.nodes()
-    return reachable_by_joins(nodes, nodes.agg(F.min("node_id").alias("node_id"))).agg(F.count(F.lit(1)).alias("reachable"))
+    return reachable_by_joins(nodes, nodes.groupBy("shard").agg(F.min("node_id").alias("node_id"))).agg(F.count(F.lit(1)).alias("reachable"))
 
 
 def graph_walk_small_l(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,12 +308,12 @@ def graph_insert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built without every 50th row, which is then inserted; rows 1 to 5 are deleted."""
     e = _embeddings(spark, sf_dir)
     rows = e.select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("vector"))
-    index = VectorIndex.create(spark, "memory:", IndexConfig(64, **BUILD))
+    n = e.count()
+    index = VectorIndex.create(spark, "memory:", IndexConfig(64, **BUILD, shards=_shards(n)))
     index.bulk_build(rows.where("external_id % 50 <> 7"))
     index.insert(rows.where("external_id % 50 = 7"))
     index.delete(rows.where("external_id between 1 and 5").select("external_id"))
     q = _asked(e).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    n = e.count()
     return _shown(index.search(q, K, n, budget=_budget(n)), "external_id")
 
 
@@ -352,16 +349,13 @@ def _ingested(spark: SparkSession, log: DataFrame) -> DataFrame:
     """What is visible after a stream has taken in a log."""
     from .streaming import ingest, mutation_stream
 
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vecstrata-"))
     import uuid
 
+    _checkpointed(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    index = VectorIndex.create(spark, "memory:", IndexConfig(64, max_neighbors=8, build_search_list_size=16))
-    log.coalesce(1).write.parquet(f"{folder}/log")
-    ingest(index, mutation_stream(spark, f"{folder}/log"), f"{folder}/checkpoint").awaitTermination()
+    index = VectorIndex.create(spark, "memory:", IndexConfig(64, max_neighbors=8, build_search_list_size=16, shards=_shards(log.count())))
+    log.write.parquet(f"{folder}/log")
+    ingest(index, mutation_stream(spark, f"{folder}/log", 1 << 20), f"{folder}/checkpoint").awaitTermination()
     return index.nodes().select("node_id", "external_id")
 
 
@@ -374,6 +368,61 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, rows(e, "insert", 0).unionByName(rows(e.where(EVERY_20TH), "delete", e.agg(F.max("vec_id")).first()[0] + 1)))
 
 
+def _checkpointed(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vecstrata-"))
+
+
+def graph_reachable_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over derived lists, some of whose ids have no row, that both limits cut short."""
+    _checkpointed(spark)
+    e = _embeddings(spark, sf_dir).select((F.col("vec_id") + 1).alias("node_id"))
+    n = e.count()
+    i = F.col("node_id")
+    nodes = e.withColumn("neighbors", F.array(2 * i, i * 7 % n + 1, 2 * i + 1, i))
+    starts = spark.createDataFrame([(3,), (1,)], "node_id bigint")
+    return reachable_bounded(nodes, starts, n * 7 // 10, n * 8 // 10)
+
+
+def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows by segment, and a registry where each segment was trained on half of its rows first and on all of them then."""
+    rows = _embeddings(spark, sf_dir).select("vec_id", (F.col("vec_id") % 4).cast("string").alias("scope"), F.col("embedding").alias("vector"))
+    registry = spark.createDataFrame([], REGISTRY)
+    for ref, part in enumerate((rows.where("vec_id % 8 < 4"), rows), 1):
+        registry = registered(registry, train_scopes(part), Quantizer(2), ref)
+    return rows, registry
+
+
+def quantizer_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest statistics of each segment."""
+    _, registry = _scoped(spark, sf_dir)
+    flat = latest(registry).select("scope", "version", "count", F.posexplode(F.arrays_zip("mean", "m2")).alias("dim", "s"))
+    return flat.select("scope", "version", "count", F.col("dim").cast("bigint").alias("dim"), F.round("s.mean", 6).alias("mean"), F.round("s.m2", 6).alias("m2"))
+
+
+def sbq_encode_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-bit codes under each row's own segment's latest thresholds."""
+    coded = ones_by_scope(*_scoped(spark, sf_dir))
+    return coded.select("vec_id", "scope", F.posexplode("ones").alias("dim", "x")).select("vec_id", "scope", F.col("dim").cast("bigint").alias("dim"), F.col("x").cast("bigint").alias("ones"))
+
+
+def graph_change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is visible over a base and three change sets, before and after they are made one."""
+    _checkpointed(spark)
+    rows = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("vector"))
+    index = VectorIndex.create(spark, "memory:", IndexConfig(64, max_neighbors=12, build_search_list_size=16, shards=_shards(rows.count())))
+    index.bulk_build(rows.where("external_id % 25 > 1"))
+    index.insert(rows.where("external_id % 25 = 0"))
+    index.delete(rows.where("external_id % 25 in (0, 5) and external_id % 2 = 0").select("external_id"))
+    index.insert(rows.where("external_id % 25 = 1"))
+    shown = lambda stage: index.nodes().select(F.lit(stage).alias("stage"), "external_id", F.round(F.col("full_vector")[0].cast("double"), 6).alias("v0"))
+    before = shown("before").checkpoint()
+    index.compact()
+    return before.unionByName(shown("after"))
+
+
 # -- SQL -----------------------------------------------------------------------
 
 L2 = "list_sum(list_transform(list_zip({a}::double[], {b}::double[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -441,6 +490,36 @@ from sizes s left join hits h using (list_size) left join truth t on t.query_id
     )
 
 
+SCOPED = f"""
+with flat as (select vec_id, (vec_id % 4)::varchar as scope, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings),
+stats as (select scope, dim, count(*) as n, avg(x) as m, var_pop(x) as v from flat group by all)
+"""
+
+
+def _reachable_sql(levels: int = 24) -> str:
+    """Levels one after the other: the rank of a new node is how many were queued before it."""
+    most, room = "(select count(*) * 7 // 10 from embeddings)", "(select count(*) * 8 // 10 from embeddings)"
+    parts = [
+        "e as (select vec_id + 1 as i, count(*) over () as n from embeddings)",
+        "links as (select i as node_id, unnest([2 * i, i * 7 % n + 1, 2 * i + 1, i]) as t, unnest([0, 1, 2, 3]) as place from e)",
+        "q0 as (select * from (values (1::bigint, 0::bigint, 0::bigint, false), (3, 1, 0, false)) t(node_id, rank, level, over))",
+        "s0 as (select * from q0)",
+    ]
+    for k in range(1, levels + 1):
+        parts.append(
+            f"""q{k} as (
+  select node_id, (select count(*) from s{k - 1} where not over) + row_number() over (order by of, place) - 1 as rank, {k}::bigint as level from (
+    select t as node_id, min(q.rank * 4 + l.place) // 4 as of, min(q.rank * 4 + l.place) % 4 as place
+    from q{k - 1} q join links l on l.node_id = q.node_id where not q.over and q.rank < {most} and t not in (select node_id from s{k - 1} where not over) group by t))"""
+        )
+        parts[-1] = f"r{k} as (select * from ({parts[-1].split(' as (', 1)[1][:-1]})), q{k} as (select *, rank >= {room} as over from r{k})"
+        parts.append(f"s{k} as (select * from s{k - 1} union all select * from q{k})")
+    last = f"s{levels}"
+    return f"""with {", ".join(p.replace(" as (", " as materialized (", 1) for p in parts)}
+select node_id, rank, level, node_id in (select i from e) as present,
+       (select bool_or(over or rank >= {most}) from {last}) as truncated from {last} where not over and rank < {most}"""
+
+
 NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
 
 
@@ -506,6 +585,12 @@ select vec_id, array_to_string(a, ',') as labels, list_has_any(a, b) as overlap,
 select * from (values ('max_visited', 'BUDGET_EXCEEDED'), ('max_candidates', 'BUDGET_EXCEEDED'), ('max_rescore', 'BUDGET_EXCEEDED'),
   ('max_full_vector_bytes', 'BUDGET_EXCEEDED'), ('max_query_bytes', 'BUDGET_EXCEEDED'), ('list_under_limit', 'INVALID_ARGUMENT'), ('no_limit', 'INVALID_ARGUMENT'),
   ('wrong_size', 'DIMENSION_MISMATCH'), ('enough', 'OK')) t("case", code)""",
+    "graph_reachable_bounded": _reachable_sql(),
+    "quantizer_registry": SCOPED + "select scope, 2::bigint as version, n as count, dim, round(m, 6) as mean, round(v * n, 6) as m2 from stats",
+    "sbq_encode_by_segment": SCOPED + "select vec_id, scope, dim, greatest(0, least(2, floor(((x - m) / sqrt(v) + 2) / (4.0 / 3))))::bigint as ones from flat join stats using (scope, dim)",
+    "graph_change_sets": """
+select stage, vec_id as external_id, round(embedding[1]::double, 6) as v0 from embeddings, (values ('before'), ('after')) t(stage)
+where not (vec_id % 25 in (0, 5) and vec_id % 2 = 0)""",
     "streaming_ingest": "select vec_id + 1 as node_id, vec_id as external_id from embeddings where vec_id % 20 <> 0",
 }
 SQL["graph_cosine_walk"] = SQL["topk_cosine"]
@@ -550,6 +635,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_walk_small_l": graph_walk_small_l,
         "graph_sharded": graph_sharded,
         "graph_insert_delete": graph_insert_delete,
+        "graph_change_sets": graph_change_sets,
+        "graph_reachable_bounded": graph_reachable_bounded,
+        "quantizer_registry": quantizer_registry,
+        "sbq_encode_by_segment": sbq_encode_by_segment,
         "budget_violations": budget_violations,
         "streaming_ingest": streaming_ingest,
     }

@@ -9,10 +9,15 @@ manifest that names them and never changed after, so a reader of a manifest
 sees a frozen state, and a failed writer leaves files that nothing names.
 ``FileStorage`` goes through Spark's file systems, so any path that Spark can
 open will do; ``MemoryStorage`` keeps cached DataFrames in this process.
+
+Tables of nodes are laid out by shard: as bucketed tables in files, as cached
+partitions in memory.  What groups or joins them by shard then reads each bucket in
+one task and shuffles nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 import uuid
@@ -23,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import IndexExistsError, IndexNotFoundError, InvalidArgumentError, ManifestConflictError, StorageError
 
+#: Buckets of a table at most; more shards share them.
+MOST_BUCKETS = 4096
 #: What may lie in an index folder; anything else keeps it from being destroyed.
 OWN = {"manifest", "segments", "deltas", "quantizers", "log", "LOCK", "state.json"}
 
@@ -30,12 +37,11 @@ OWN = {"manifest", "segments", "deltas", "quantizers", "log", "LOCK", "state.jso
 def check_manifest(manifest: dict, there: Callable[[str], bool]) -> None:
     """An error if a manifest names a table twice or one that is not there, or says what cannot be."""
     refs = [x["ref"] for x in manifest.get("segments", [])]
-    names = [f"segments/{r}" for r in refs]
-    if manifest.get("delta") is not None:
-        names += [f"deltas/{manifest['delta']}/{part}" for part in ("records", "rewrites", "tombstones")]
+    changes = [x["ref"] for x in manifest.get("changes", [])]
+    names = [*(f"segments/{r}" for r in refs), *(f"deltas/{r}" for r in changes)]
     if manifest.get("quantizer") is not None:
         names.append(f"quantizers/{manifest['quantizer']}")
-    if len(set(refs)) != len(refs) or any(x["count"] < 0 for x in manifest.get("segments", [])) or manifest.get("epoch", 0) < 0 or manifest.get("max_node", 0) < 0:
+    if len(set(refs)) != len(refs) or len(set(changes)) != len(changes) or any(x["count"] < 0 for x in [*manifest.get("segments", []), *manifest.get("changes", [])]) or manifest.get("epoch", 0) < 0 or manifest.get("max_node", 0) < 0:
         raise StorageError("the manifest is not valid")
     if lacking := [n for n in names if not there(n)]:
         raise StorageError(f"the manifest names what is not there: {', '.join(lacking)}")
@@ -47,8 +53,8 @@ class Storage(Protocol):
 
     def latest(self) -> dict | None: ...
     def publish(self, manifest: dict, expected: int) -> dict: ...
-    def put(self, name: str, df: DataFrame) -> None: ...
-    def get(self, name: str) -> DataFrame: ...
+    def put(self, name: str, df: DataFrame, shards: int = 0) -> None: ...
+    def get(self, name: str, shards: int = 0) -> DataFrame: ...
     def names(self, kind: str) -> list[str]: ...
     def drop(self, name: str) -> None: ...
     def state(self) -> dict: ...
@@ -57,7 +63,12 @@ class Storage(Protocol):
 
 
 class MemoryStorage:
-    """Tables as cached DataFrames; lost partitions come back from their lineage."""
+    """Tables as cached DataFrames.
+
+    Where the session has a checkpoint folder, tables are cut off from how they were
+    made, so that plans do not grow with the number of changes; else lost partitions
+    come back from their lineage.
+    """
 
     _named: dict[str, MemoryStorage] = {}
     _guard = threading.Lock()
@@ -81,11 +92,12 @@ class MemoryStorage:
             self.manifests[expected + 1] = manifest | {"version": expected + 1}
         return self.latest()
 
-    def put(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = df.persist()
+    def put(self, name: str, df: DataFrame, shards: int = 0) -> None:
+        made = df if self.spark.sparkContext.getCheckpointDir() is None else df.checkpoint()
+        self.tables[name] = (made.repartition(min(shards, MOST_BUCKETS), "shard") if shards else made).persist()
         self.tables[name].count()
 
-    def get(self, name: str) -> DataFrame:
+    def get(self, name: str, shards: int = 0) -> DataFrame:
         if name not in self.tables:
             raise StorageError(f"no table {name}")
         return self.tables[name]
@@ -199,20 +211,38 @@ class FileStorage:
             raise ManifestConflictError(f"version {expected + 1} exists")
         return made
 
-    def put(self, name: str, df: DataFrame) -> None:
-        """Names come from the latest manifest, so a table that is there already was left by an interrupted writer and goes."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def _table(self, name: str) -> str:
+        """What a bucketed table is called in the session's catalog, which only holds where it lies."""
+        return f"vecstrata_{hashlib.sha1(f'{self.path}/{name}'.encode()).hexdigest()[:20]}"
 
-    def get(self, name: str) -> DataFrame:
+    def put(self, name: str, df: DataFrame, shards: int = 0) -> None:
+        """Names come from the latest manifest, so a table that is there already was left by an interrupted writer and goes."""
+        if not shards:
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            return
+        self.drop(name)
+        n = min(shards, MOST_BUCKETS)
+        df.repartition(n, "shard").write.format("parquet").bucketBy(n, "shard").sortBy("node_id").option("path", f"{self.path}/{name}").saveAsTable(self._table(name))
+
+    def get(self, name: str, shards: int = 0) -> DataFrame:
+        """A table; with its number of shards, one that was laid out by them, known to this session's catalog from then on."""
         if not self.fs.exists(self._path(name)):
             raise StorageError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        plain = self.spark.read.parquet(f"{self.path}/{name}")
+        if not shards:
+            return plain
+        if not self.spark.catalog.tableExists(self._table(name)):
+            columns = ", ".join(f"`{c}` {t}" for c, t in plain.dtypes)
+            where = f"{self.path}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"create table {self._table(name)} ({columns}) using parquet clustered by (shard) sorted by (node_id) into {min(shards, MOST_BUCKETS)} buckets location '{where}'")
+        return self.spark.table(self._table(name))
 
     def names(self, kind: str) -> list[str]:
         path = self._path(kind)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
 
     def drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {self._table(name)}")
         self.fs.delete(self._path(name), True)
 
     def state(self) -> dict:
@@ -231,6 +261,9 @@ class FileStorage:
         foreign = [s.getPath().getName() for s in self.fs.listStatus(self._path()) if s.getPath().getName() not in OWN and not s.getPath().getName().startswith(".")]
         if foreign:
             raise StorageError(f"{self.path} also holds {', '.join(sorted(foreign))}")
+        for kind in ("segments", "deltas"):
+            for name in self.names(kind):
+                self.spark.sql(f"drop table if exists {self._table(f'{kind}/{name}')}")
         self.fs.delete(self._path(), True)
         self.locked = False
 
