@@ -8,7 +8,8 @@ from the origin, so it only picks 2k rows, of which the distances are then taken
 coordinate by coordinate.  A query set of any size is worked off block by
 block, so what is broadcast has a fixed bound, and the vectors never shuffle.
 
-Defined cases: rows and queries without a vector or an id have no hits; ties go to the smaller id; without queries there are no rows.
+Defined cases: rows and queries without a vector or an id have no hits; a row meets only queries of its own width; rows
+and queries with numbers that are not finite have no hits; ties go to the smaller id; without queries there are no rows.
 """
 
 from __future__ import annotations
@@ -163,11 +164,17 @@ def exact_topk(
     filtered = bool(labels_col and filter_col)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), *([F.col(labels_col).alias("l")] if filtered else [])).where("id is not null and v is not null")
     found = None
-    for ids, vs, wanted in query_blocks(queries, query_id_col, query_col, filter_col if filtered else None):
-        q = np.array(vs, np.int64).view(np.uint64) if metric == "hamming" else np.array(vs, np.float64)
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), unit(q) if metric == "cosine" else q, wanted))
-        part = rows.mapInArrow(_topk_batches(metric, k, shared, filtered), HITS)
-        found = part if found is None else found.unionByName(part)
+    for block in query_blocks(queries, query_id_col, query_col, filter_col if filtered else None):
+        for width in sorted({len(v) for v in block[1]}):  # one, as a rule
+            ids, vs, wanted = zip(*(x for x in zip(*block, strict=True) if len(x[1]) == width), strict=True)
+            q = np.array(vs, np.int64).view(np.uint64) if metric == "hamming" else np.array(vs, np.float64)
+            fit = np.flatnonzero(np.isfinite(q).all(1)) if metric != "hamming" else np.arange(len(q))
+            if not len(fit) or not width:
+                continue
+            q, ids, wanted = q[fit], np.array(ids, np.int64)[fit], [wanted[x] for x in fit]
+            shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(q) if metric == "cosine" else q, wanted))
+            part = rows.where(F.size("v") == width).mapInArrow(_topk_batches(metric, k, shared, filtered), HITS)
+            found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], HITS)
     return ranked(found, k)
