@@ -8,9 +8,12 @@ names of the elements around it hint at is added with the fixed weights of
 edge from the source, negative odds of the edge to the sink.  Neighbouring blocks
 are joined by smoothness edges, the stronger the more of their enclosing elements
 they share, and further edges join the closest blocks under one parent.  The
-minimum cut, found by max-flow, keeps the blocks on the source side.  A name or a
-tag alone decides nothing: a paragraph with an odd class, a heading or a short
-line goes with its neighbours unless it stands apart from them.
+minimum cut, found by max-flow, keeps the blocks on the source side.  The name of a
+paragraph, heading, item or cell alone decides nothing: with an odd class it goes
+with its neighbours unless its text stands apart too.  A name of a larger element
+weighs as boilerplate only where its other words are known (``social-links``, not
+``social-history``).  Items of one list or table share the doubt of one text, and
+the wording of consent notices counts against a block without any name.
 
 Blocks whose own odds outweigh all their smoothness edges have the same label in
 every minimum cut; they are fixed first and the flow runs on what is left.
@@ -31,7 +34,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,25 +75,47 @@ BOILER_NAMES = {
     "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored",
     "subscribe", "toolbar", "topbar", "trending", "widget", "widgets",
 }
+#: Names of reader comments inside a content tag; elsewhere they may name the content itself, as in a forum.
+COMMENT_NAMES = {"discussion", "guestbook", "reactions", "responses", "thread", "threads"}
+#: Words that leave a boilerplate name as certain as it is by itself; beside any other word it is doubtful, as in ``social-history``.
+COMPANIONS = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "column", "container", "content", "entry",
+    "feed", "form", "global", "group", "header", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "module",
+    "outer", "page", "panel", "policy", "post", "posts", "primary", "reader", "right", "row", "secondary", "section", "side", "site", "slot", "small",
+    "stories", "story", "text", "title", "top", "unit", "user", "wrap", "wrapper",
+}
 DOUBTFUL_NAMES = {
     "banner", "bottombar", "copyright", "disclaimer", "dropdown", "feedback", "form", "header", "notice", "notices", "privacy", "reply", "rss", "tagcloud", "tags", "teaser",
 }
 #: Names with one of these words say what a whole page has, as ``with-sidebar``.
 LAYOUT_NAMES = {"has", "no", "with", "without"}
 #: What an element's tag and names hint at, and the log-odds of the innermost element with a hint and of those around it.
-HINTS = {"content tag": (0.7, 0.3), "content name": (0.7, 0.3), "boiler tag": (-3.0, -2.5), "boiler name": (-4.0, -2.5), "doubtful name": (-1.5, -0.3), "doubtful leaf": (-0.5, -0.3)}
+HINTS = {"content tag": (0.7, 0.3), "content name": (0.7, 0.3), "boiler tag": (-3.0, -2.5), "boiler name": (-4.0, -2.5), "doubtful name": (-0.9, -0.3), "named leaf": (-1.8, -0.3), "doubtful leaf": (-0.5, -0.3)}
 #: Log-odds of a block outside of all content tags, on a page that has some.
 OUTSIDE = -1.5
+# Wording of consent notices, and what each says against its block; what all say counts from ``NOTICE_LEAST`` on.
+NOTICE_WORDING = [
+    (3.0, re.compile(r"^\W*(?:we|this (?:web)?site|our (?:web)?site)\b.{0,40}?\buses? (?:\w+ )?cookies\b", re.I)),
+    (1.0, re.compile(r"\bcookies?\b", re.I)),
+    (1.0, re.compile(r"\b(?:accept|agree|consent|allow|reject|decline)\w*\b", re.I)),
+    (1.0, re.compile(r"\b(?:policy|settings|preferences|options)\b", re.I)),
+    (1.0, re.compile(r"\b(?:your (?:browsing )?experience|by (?:continuing|using|going on|clicking|browsing))\b", re.I)),
+    (1.0, re.compile(r"\b(?:we|our|this (?:web)?site)\b", re.I)),
+]
+NOTICE_LEAST = 3.0
+#: Lists and tables, and the elements that are their items.
+GROUPS = {"ul", "ol", "dl", "table"}
+ITEMS = {"li", "dt", "dd", "td", "th"}
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "nav", "aside", "main", "td", "th"}
 
 
 class Block:
-    __slots__ = ("text", "path", "tag", "linked", "hints")
+    __slots__ = ("text", "path", "tag", "linked", "hints", "group")
 
-    def __init__(self, text: str, path: tuple[int, ...], tag: str, linked: int, hints: tuple[str, ...]):
-        self.text, self.path, self.tag, self.linked, self.hints = text, path, tag, linked, hints
+    def __init__(self, text: str, path: tuple[int, ...], tag: str, linked: int, hints: tuple[str, ...], group: int = 0):
+        self.text, self.path, self.tag, self.linked, self.hints, self.group = text, path, tag, linked, hints, group
 
     @property
     def says(self) -> int:
@@ -104,7 +129,15 @@ class Block:
         odds = OUTSIDE if has_content and "content tag" not in self.hints else 0.0
         if self.hints:
             odds += HINTS[self.hints[-1]][0] + sum(HINTS[h][1] for h in set(self.hints[:-1]) - {self.hints[-1]})
-        return odds
+        return odds - notice(self.text)
+
+
+def notice(text: str) -> float:
+    """How strongly the wording is that of a consent notice; 0 for texts without the word."""
+    if "cookie" not in text.lower():
+        return 0.0
+    said = sum(weight for weight, pattern in NOTICE_WORDING if pattern.search(text))
+    return said if said >= NOTICE_LEAST else 0.0
 
 
 def _hint(tag: str, attrs: str, inside_content: bool) -> tuple[str, bool]:
@@ -116,23 +149,30 @@ def _hint(tag: str, attrs: str, inside_content: bool) -> tuple[str, bool]:
         hint = "boiler tag"
     if attrs and "=" in attrs or "hidden" in attrs:
         words: set[str] = set()
+        certain = False
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name in ("class", "id"):
-                words.update(WORD.findall(value))
+                for token in value.split():
+                    parts = set(WORD.findall(token))
+                    if parts.isdisjoint(LAYOUT_NAMES):
+                        words |= parts
+                        sure = BOILER_NAMES | COMMENT_NAMES if inside_content else BOILER_NAMES
+                        certain |= not parts.isdisjoint(sure) and all(len(w) < 3 or w.isdigit() or w in sure or w in COMPANIONS for w in parts)
             elif name == "role" and value in BOILER_ROLES:
                 hint = "boiler tag"
             elif name == "role" and value in CONTENT_TAGS:
                 hint = "content tag"
             elif name == "hidden" or name == "aria-hidden" and value == "true" and tag not in ("body", "main", "article") or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
-        if tag not in ROOTS and hint != "boiler tag" and words.isdisjoint(LAYOUT_NAMES):
+        if tag not in ROOTS and hint != "boiler tag":
             content = not words.isdisjoint(CONTENT_NAMES)
-            if not words.isdisjoint(BOILER_NAMES):
-                hint = "boiler name"
+            named = not words.isdisjoint(BOILER_NAMES)
+            if certain:
+                hint = "named leaf" if tag in LEAVES else "boiler name"
             elif tag in LEAVES:
-                hint = hint or "doubtful leaf" * (not content and not words.isdisjoint(DOUBTFUL_NAMES))
-            elif not words.isdisjoint(DOUBTFUL_NAMES):
+                hint = hint or "doubtful leaf" * (named or not content and not words.isdisjoint(DOUBTFUL_NAMES))
+            elif named or not words.isdisjoint(DOUBTFUL_NAMES):
                 hint = hint or "doubtful name" * (not content)
             elif content:
                 hint = hint or "content name"
@@ -142,17 +182,17 @@ def _hint(tag: str, attrs: str, inside_content: bool) -> tuple[str, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     found: list[Block] = []
-    # open elements: (tag, path, hints, hidden)
-    stack: list[tuple[str, tuple[int, ...], tuple[str, ...], bool]] = [("", (), (), False)]
+    # open elements: (tag, path, hints, hidden, list or table around)
+    stack: list[tuple[str, tuple[int, ...], tuple[str, ...], bool, int]] = [("", (), (), False, 0)]
     number, text, linked, in_link, at = 0, [], 0, False, 0
 
     def end_block() -> None:
         nonlocal text, linked
         if text:
             said = " ".join(html.unescape("".join(text)).split())
-            tag, path, hints, hidden = stack[-1]
+            tag, path, hints, hidden, group = stack[-1]
             if said and not hidden:
-                found.append(Block(said, path, tag, linked, hints))
+                found.append(Block(said, path, tag, linked, hints, group))
             text, linked = [], 0
 
     def close(to: int) -> None:
@@ -210,12 +250,12 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 continue
             number += 1
-            _, path, hints, hidden = stack[-1]
+            _, path, hints, hidden, group = stack[-1]
             boiler = any(h.startswith("boiler") for h in hints)
             hint, own_hidden = _hint(tag, m[3].rstrip("/>"), "content tag" in hints)
             if hint.startswith("content") and boiler:
                 hint = ""  # an article among related links or comments is no main text
-            stack.append((tag, path if tag in ROOTS else (*path, number), (*hints, hint) if hint else hints, hidden or own_hidden))
+            stack.append((tag, path if tag in ROOTS else (*path, number), (*hints, hint) if hint else hints, hidden or own_hidden, number if tag in GROUPS else group))
     end_block()
     return found
 
@@ -326,10 +366,17 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
 
 
 def capacities(found: list[Block], weights: np.ndarray) -> list[float]:
-    """The log-odds of each block being content."""
-    text = np.array([features(b, k / max(1, len(found) - 1)) for k, b in enumerate(found)]) @ weights
+    """The log-odds of each block being content.
+
+    Items of a list or table that hold more than links share the doubt of one text:
+    what speaks against short ones is divided by their number.
+    """
+    text = np.clip(np.array([features(b, k / max(1, len(found) - 1)) for k, b in enumerate(found)]) @ weights, -TEXT_MOST, TEXT_MOST)
+    items = [b.group if b.tag in ITEMS and 2 * b.linked < len(b.text) else 0 for b in found]
+    share = Counter(items)
+    text = [t / share[g] if g and t < 0 else t for t, g in zip(text.tolist(), items, strict=True)]
     has_content = any("content tag" in b.hints for b in found)
-    return np.clip(np.clip(text, -TEXT_MOST, TEXT_MOST) + [b.evidence(has_content) for b in found], -MOST, MOST).tolist()
+    return np.clip(np.array(text) + [b.evidence(has_content) for b in found], -MOST, MOST).tolist()
 
 
 def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
