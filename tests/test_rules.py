@@ -177,3 +177,51 @@ def test_search_does_not_join_for_external_ids(spark):
 
 def test_code_sizes():
     assert [code_bytes(d, b) for d, b in ((1, 1), (64, 1), (65, 1), (64, 2))] == [8, 8, 16, 16]
+
+
+@pytest.mark.parametrize("labels", [False, True])
+@pytest.mark.parametrize("whole", [6000, 0])
+def test_rounds_of_one_row_are_the_sequential_build(labels, whole, monkeypatch):
+    import dataclasses
+
+    from vecstrata.operators import graph as module
+
+    monkeypatch.setattr(module, "WHOLE_MATRIX", whole)
+    for seed, most in ((4, 8), (5, 3), (6, 1)):
+        one, rounds = graph(seed, labels=labels, most=most), graph(seed, labels=labels, most=most)
+        one.config = dataclasses.replace(one.config, build_round=1)
+        for g in (one, rounds):
+            g.routing[:] = np.round(g.routing * 4)  # whole numbers: both forms of a distance are exact
+            g.routing[40:60] = g.routing[40]  # ties
+        one.build()
+        rounds.build_in_rounds(1)
+        assert rounds.neighbors == one.neighbors
+
+
+@pytest.mark.parametrize("labels", [False, True])
+def test_pruning_together_is_pruning_alone(labels):
+    g = graph(9, labels=labels)
+    rng = np.random.default_rng(1)
+    bases = np.arange(0, 120, 3)
+    rows = np.full((len(bases), 70), -1)
+    for k, base in enumerate(bases):
+        some = rng.permutation([r for r in range(120) if r != base])[: rng.integers(0, 70)]
+        rows[k, rng.permutation(70)[: len(some)]] = some
+    got = g.prune_all(bases, rows, 8)
+    for k, base in enumerate(bases.tolist()):
+        mine = rows[k][rows[k] >= 0]
+        assert [x for x in got[k].tolist() if x >= 0] == (g.prune(base, mine, g.between(base, mine), 8) if len(mine) else [])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 40, 500])
+def test_a_build_in_rounds_is_connected_and_finds(n):
+    g = graph(11, n=n, most=12)
+    g.build()
+    assert len(g.neighbors) == n and all(len(x) <= 12 and k not in x and len(set(x)) == len(x) for k, x in enumerate(g.neighbors))
+    g.neighbors = [[int(g.ids[x]) for x in near] for near in g.neighbors]
+    assert len(g.breadth_first([1], n + 1)[0]) == n
+    if n:
+        hits = g.search_all(g.routing, g.full, [[1]] * n, 10, 40, [frozenset()] * n)
+        d = ((g.routing[:, None] - g.routing) ** 2).sum(2)
+        truth = np.argsort(d, 1, kind="stable")[:, :10]
+        assert np.mean([len({r for _, r in h} & set(t.tolist())) / len(t) for h, t in zip(hits, truth, strict=True)]) > 0.97

@@ -44,6 +44,8 @@ class IndexConfig:
     has_labels: bool = False
     #: Graphs built side by side; node n belongs to graph (n - 1) % shards.  One graph is the parity mode.
     shards: int = 1
+    #: Rows that are wired together while a graph is built; 1 wires one after the other, each seeing all before it.
+    build_round: int = 64
 
     def __post_init__(self) -> None:
         _need(_whole(self.dimensions) and self.dimensions > 0, "dimensions must be positive")
@@ -55,6 +57,7 @@ class IndexConfig:
         _need(_whole(self.build_search_list_size) and self.build_search_list_size > 0, "build_search_list_size must be positive")
         _need(math.isfinite(self.max_alpha) and self.max_alpha >= 1.0, "max_alpha must be finite and at least 1")
         _need(_whole(self.shards) and self.shards > 0, "shards must be positive")
+        _need(_whole(self.build_round) and self.build_round > 0, "build_round must be positive")
 
     @property
     def max_neighbors_during_build(self) -> int:
