@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import IndexConfig, QueryBudget, SearchOptions
-from .errors import ConfigMismatchError, DimensionMismatchError, IndexClosedError, InvalidArgumentError, InvalidVectorError, SnapshotExpiredError, StorageError, raise_typed
+from .errors import BY_CODE, ConfigMismatchError, DimensionMismatchError, IndexClosedError, InvalidArgumentError, InvalidVectorError, SnapshotExpiredError, StorageError, raise_typed
 from .functions.quantize import bit_words, sbq_bits, thresholds, train_statistics
 from .functions.vectors import is_valid_vector, label_set, normalised, prefix, valid_node
-from .operators.shards import NODES, build_nodes, link_new, reachable, walk
+from .operators.shards import NODES, build_nodes, link_new, reachable, replayed, walk
 from .plans.exact import exact_topk
-from .plans.numbering import numbered
+from .plans.numbering import numbered, runs
 from .plans.registry import REGISTRY, checked_quantizer, next_version
+from .plans.replay import first_fault
 from .plans.visibility import FEW_CHANGES, first_segment, merged_changes, node_reads, visible_nodes
 from .sources.storage import MOST_BUCKETS, FileStorage, Storage, destroy_uri, open_uri, parse_uri
 
@@ -281,8 +282,8 @@ class VectorIndex:
             out = out.unionByName(self.storage.get(f"quantizers/{name}"))
         return out
 
-    def _encoded(self, rows: DataFrame, stats: tuple | None) -> DataFrame:
-        """Node rows without edges from (node_id, external_id, vector, labels)."""
+    def _encoded(self, rows: DataFrame, stats: tuple | None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Node rows without edges from (node_id, external_id, vector, labels), and the columns to ``keep``."""
         c, head = self.config, prefix(F.col("vector"), self.config.routing_dimensions)
         plain, words = F.lit(None).cast("array<float>"), F.lit(None).cast("array<bigint>")
         if c.quantizer:
@@ -293,7 +294,7 @@ class VectorIndex:
             plain = head
         return rows.select(
             "node_id", F.col("external_id").cast("bigint").alias("external_id"), F.col("vector").alias("full_vector"), plain.alias("routing_plain"), words.alias("routing_sbq"), "labels",
-            F.array().cast("array<bigint>").alias("neighbors"), ((F.col("node_id") - 1) % c.shards).cast("int").alias("shard"),
+            F.array().cast("array<bigint>").alias("neighbors"), ((F.col("node_id") - 1) % c.shards).cast("int").alias("shard"), *keep,
         )
 
     def _first_nodes(self, nodes: DataFrame) -> dict[str, dict]:
@@ -409,7 +410,8 @@ class VectorIndex:
         if self.config.quantizer and stats is None:
             raise StorageError("the quantizer is not trained: build first")
         fresh = self._encoded(rows, stats)
-        touched = F.broadcast(fresh.select("shard").distinct())  # at most one row a shard: the other shards are left alone
+        touched = fresh.select("shard").distinct()  # at most one row a shard: the other shards are left alone
+        touched = F.broadcast(touched) if self.config.shards <= FEW_CHANGES else touched
         near = self._nodes(m).join(touched, "shard", "left_semi")
         all_rows = near.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
         changed = link_new(all_rows, self.config, m["starts"]).persist()
@@ -434,10 +436,13 @@ class VectorIndex:
         starts = self._repaired(m, gone)
         return self._publish_changes(m, self._change_rows(tombstones=dead), {"starts": starts, "epoch": epoch, "applied": max(m["applied"], applied)})
 
+    def _entry_ids(self, m: dict) -> DataFrame:
+        mine = {n for s in m["starts"].values() for n in [s["default"], *s["labeled"].values()] if n is not None}
+        return self.spark.createDataFrame([(n,) for n in sorted(mine)], "node_id bigint")
+
     def _repaired(self, m: dict, gone: DataFrame) -> dict:
         """Entry nodes without the removed ones: the first of a breadth-first search that can stand in."""
-        mine = {n for s in m["starts"].values() for n in [s["default"], *s["labeled"].values()] if n is not None}
-        lost = {r.node_id for r in gone.join(self.spark.createDataFrame([(n,) for n in sorted(mine)] or [(-1,)], "node_id bigint"), "node_id", "left_semi").collect()}
+        lost = {r.node_id for r in gone.join(self._entry_ids(m), "node_id", "left_semi").collect()}
         if not lost:
             return m["starts"]
         hurt = [int(k) for k, s in m["starts"].items() if lost & {s["default"], *s["labeled"].values()}]
@@ -476,32 +481,61 @@ class VectorIndex:
     def replay(self, mutations: DataFrame) -> Snapshot:
         """Apply log rows in order without logging them again; those applied before are passed over.
 
-        Inserted rows are held to what ``insert`` asks for (size, finite numbers,
-        labels, ids that are new) and normalised for cosine.  A run of rows that
-        breaks a rule is an error and is not applied; the runs before it stay.
+        Rows are held to what ``insert`` and ``delete`` ask for (see ``first_fault``)
+        and vectors normalised for cosine.  A run of one operation that has a row
+        which breaks a rule is an error, and neither it nor what follows is applied;
+        the runs before it stay.  All runs become one change set: each touched shard
+        goes through its own part of the log in one task.
         """
         with self._lock:
             m = self._pinned(None)
-            rows = mutations.where(F.col("log_offset") > m["applied"]).persist()
-            # runs of one operation; their number is what the driver sees
-            turn = (F.col("op") != F.lag("op").over(Window.orderBy("log_offset"))).cast("int")
-            heads = rows.select("log_offset", "op").withColumn("turn", F.coalesce(turn, F.lit(1))).where("turn = 1").orderBy("log_offset").collect()
-            for k, head in enumerate(heads):
-                end = heads[k + 1].log_offset if k + 1 < len(heads) else 1 << 62
-                part = rows.where((F.col("log_offset") >= head.log_offset) & (F.col("log_offset") < end))
-                last = part.agg(F.max("log_offset")).first()[0]
-                m = self._pinned(None)
-                if head.op == "insert":
-                    new = self._checked(part.select("node_id", "external_id", F.col("full_vector").alias("vector"), "labels"))
-                    if new.where("node_id is null or node_id < 1").limit(1).count() or not new.groupBy("node_id").count().where("count > 1").isEmpty():
-                        raise InvalidArgumentError("a node id is missing or occurs twice")
-                    self._unknown(new, m, "external_id")
-                    self._unknown(new, m, "node_id")
-                    self._insert(m, new, last)
-                else:
-                    self._delete(m, part.select("node_id"), last)
+            rows = runs(mutations.where(F.col("log_offset") > m["applied"]).select(*[x.split()[0] for x in LOG.split(", ")]), ["log_offset", "node_id"], "op").persist()
+            visible = self._nodes(m).select("node_id", "external_id")
+            fault = first_fault(rows, visible, self._delta(m, "tombstones"), self.config.dimensions, self.config.has_labels)
+            good = rows if fault is None else rows.where(F.col("run") < fault.run)
+            out = self._apply(m, good)
             rows.unpersist()
-            return Snapshot(self.storage.latest(), self.storage.uid)
+            if fault is not None:
+                raise BY_CODE[fault.code](f"{fault.says} (offset {fault.log_offset})")
+            return out
+
+    def _apply(self, m: dict, log: DataFrame) -> Snapshot:
+        """One change set of a log whose rows are numbered by ``run`` and break no rule."""
+        ends = log.agg(F.max("log_offset").alias("last"), F.max(F.when(F.col("op") == "insert", F.col("node_id"))).alias("node"), F.max(F.when(F.col("op") == "delete", F.col("run"))).alias("cut")).first()
+        if ends["last"] is None:
+            return Snapshot(m, self.storage.uid)
+        stats = self._statistics(m)
+        if ends["node"] is not None and self.config.quantizer and stats is None:
+            raise StorageError("the quantizer is not trained: build first")
+        vector = F.col("full_vector").cast("array<float>")
+        vector = normalised(vector).cast("array<float>") if self.config.distance == "cosine" else vector
+        step = ("op", "run", "log_offset")
+        new = log.where("op = 'insert'").select("node_id", "external_id", vector.alias("vector"), label_set(F.col("labels")).alias("labels"), *step)
+        fresh = self._encoded(new, stats, step)
+        gone = log.where("op = 'delete'").select("node_id", ((F.col("node_id") - 1) % self.config.shards).cast("int").alias("shard"), *step)
+        # shards with new rows or a lost entry node; other shards need no task for rows that go
+        lost = gone.join(self._entry_ids(m), "node_id", "left_semi")
+        touched = fresh.select("shard").unionByName(lost.select("shard")).distinct()
+        touched = F.broadcast(touched) if self.config.shards <= FEW_CHANGES else touched
+        steps = fresh.unionByName(gone, allowMissingColumns=True).join(touched, "shard", "left_semi")
+        near = self._nodes(m).join(touched, "shard", "left_semi")
+        changed = replayed(near, steps, self.config, m["starts"], QueryBudget().max_visited).persist()
+        starts = dict(m["starts"])
+        for r in changed.where("kind in ('default', 'label')").orderBy(F.col("kind")).collect():  # a shard's default comes before its labels
+            if r.kind == "default":
+                starts[str(r.shard)] = {"default": r.node_id, "labeled": {}}
+            else:
+                starts[str(r.shard)]["labeled"][str(r.label)] = r.node_id
+        lists = changed.where("kind = 'record'").select("node_id", F.col("neighbors").alias("_new"))
+        hot = fresh.drop(*step, "neighbors").join(lists, "node_id").withColumnRenamed("_new", "neighbors")
+        edges = changed.where("kind = 'rewrite'").select("node_id", "neighbors")
+        # as if each run had been published by itself: removals count from the epoch on
+        dead = gone.select("node_id", (F.lit(m["epoch"]) + F.floor(F.col("run") / 2) + 1).cast("bigint").alias("epoch"))
+        epoch = m["epoch"] + (0 if ends["cut"] is None else ends["cut"] // 2 + 1)
+        change = {"starts": starts, "epoch": epoch, "max_node": max(m["max_node"], ends["node"] or 0), "applied": max(m["applied"], ends["last"])}
+        out = self._publish_changes(m, self._change_rows(hot, edges, dead), change)
+        changed.unpersist()
+        return out
 
     def checkpoint(self, offset: int) -> None:
         """Record that all before ``offset`` has been consumed."""

@@ -8,9 +8,11 @@ of all of them; nothing but the queries is broadcast.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +111,42 @@ def _walk_shard(shared, config: IndexConfig, starts: dict[str, dict], options: S
     return run
 
 
+def entries(starts: dict[str, dict], shard: int) -> dict:
+    """A shard's entry nodes, to be changed by the caller."""
+    mine = starts.get(str(shard), {})
+    return {"default": mine.get("default"), "labeled": dict(mine.get("labeled", {}))}
+
+
+def link(graph: Graph, node: int, mine: dict, changed: dict[int, list[int]]) -> None:
+    """Link a row that ``graph.at`` shows; brings the entry nodes and the lists by node that changed up to date."""
+    labels = graph.labels[graph.at[node]]
+    if mine["default"] in graph.at and mine["default"] != node:
+        own, touched = graph.insert(node, starts_for(mine, ()), starts_for(mine, labels))
+        changed[node] = own
+        for x in touched:
+            changed[x] = graph.neighbors[graph.at[x]]
+    else:  # the first row, or no entry left: the new row becomes it
+        mine["default"], mine["labeled"], changed[node] = node, {}, []
+    for x in labels:
+        mine["labeled"].setdefault(str(x), node)
+
+
+def unlinked(graph: Graph, gone: set[int], mine: dict, most: int) -> dict:
+    """The entry nodes without removed rows: the first that a breadth-first search meets stand in for those lost."""
+    old = {mine["default"], *mine["labeled"].values()} - {None}
+    if not old & gone:
+        return mine
+    order, cut = graph.breadth_first(sorted(old), most)
+    left = [k for k in order if int(graph.ids[k]) not in gone]
+    labeled: dict[str, int] = {}
+    for k in left:
+        for x in graph.labels[k]:
+            labeled.setdefault(str(x), int(graph.ids[k]))
+    if cut:  # what the search did not get to keeps its entry
+        labeled = {x: n for x, n in mine["labeled"].items() if n not in gone} | labeled
+    return {"default": int(graph.ids[left[0]]) if left else None, "labeled": labeled}
+
+
 def link_new(nodes: DataFrame, config: IndexConfig, starts: dict[str, dict]) -> DataFrame:
     """(node_id, neighbors, is_new) of rows that were linked or whose lists changed.
 
@@ -121,23 +159,11 @@ def link_new(nodes: DataFrame, config: IndexConfig, starts: dict[str, dict]) ->
         table = table.sort_by("node_id").combine_chunks()
         fresh = set(table.filter(table.column("is_new")).column("node_id").to_pylist())
         graph, changed = graph_of(table, config), {}
-        mine = dict(starts.get(str(key[0].as_py()), {}))
-        labeled = dict(mine.get("labeled", {}))
+        mine = entries(starts, key[0].as_py())
         waiting = {n: graph.at.pop(n) for n in fresh}
         for node in sorted(fresh):
             graph.at[node] = waiting[node]
-            labels = graph.labels[waiting[node]]
-            if mine.get("default") in graph.at and mine.get("default") != node:
-                now = {"default": mine["default"], "labeled": labeled}
-                own, touched = graph.insert(node, starts_for(now, ()), starts_for(now, labels))
-                changed[node] = own
-                for x in touched:
-                    changed[x] = graph.neighbors[graph.at[x]]
-            else:  # the first row, or no entry left: the new row becomes it
-                mine["default"], changed[node] = node, []
-                labeled = {}
-            for x in labels:
-                labeled.setdefault(str(x), node)
+            link(graph, node, mine, changed)
         names = sorted(changed)
         return pa.table(
             {
@@ -150,6 +176,44 @@ def link_new(nodes: DataFrame, config: IndexConfig, starts: dict[str, dict]) ->
     return nodes.groupBy("shard").applyInArrow(run, "node_id bigint, neighbors array<bigint>, is_new boolean")
 
 
+def replayed(nodes: DataFrame, steps: DataFrame, config: IndexConfig, starts: dict[str, dict], most: int) -> DataFrame:
+    """What a log changes in its shards: (shard, kind, node_id, neighbors, label).
+
+    ``nodes`` are the visible rows of the shards and ``steps`` the log's operations
+    on them: node rows with ``op`` (insert or delete), ``run`` and ``log_offset``.  A
+    task goes through its shard's steps in order, the deletes of a run together.
+    Kinds are record and rewrite (the last neighbours of a new or an old row that is
+    still there) and default and label (the entry nodes after the last step).
+    """
+
+    def run(key, table):
+        shard = key[0].as_py()
+        steps = table.filter(pc.is_valid(table.column("op"))).sort_by([("run", "ascending"), ("log_offset", "ascending")])
+        todo = list(zip(*(steps.column(c).to_pylist() for c in ("run", "op", "node_id")), strict=True))
+        graph, changed, mine = graph_of(table.filter(pc.fill_null(pc.not_equal(table.column("op"), "delete"), True)), config), {}, entries(starts, shard)
+        fresh = {n for _, op, n in todo if op == "insert"}
+        waiting = {n: graph.at.pop(n) for n in fresh}
+        for (_, op), part in groupby(todo, key=lambda x: x[:2]):
+            ids = [n for *_, n in part]
+            if op == "insert":
+                for node in ids:
+                    graph.at[node] = waiting[node]
+                    link(graph, node, mine, changed)
+            else:
+                mine = unlinked(graph, set(ids), mine, most)
+                for node in ids:
+                    graph.at.pop(node)
+                    changed.pop(node, None)
+        out = [("record" if n in fresh else "rewrite", n, changed[n], None) for n in sorted(changed)]
+        out += [("default", mine["default"], None, None), *(("label", n, None, int(x)) for x, n in mine["labeled"].items())]
+        kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.table([pa.array([shard] * len(out), pa.int32()), *columns], names=["shard", "kind", "node_id", "neighbors", "label"])
+
+    rows = nodes.unionByName(steps, allowMissingColumns=True)
+    return rows.groupBy("shard").applyInArrow(run, "shard int, kind string, node_id bigint, neighbors array<bigint>, label int")
+
+
 def reachable(nodes: DataFrame, config: IndexConfig, starts: dict[str, dict], most: int) -> DataFrame:
     """(shard, pos, node_id, labels, truncated): rows met by a bounded breadth-first search from each shard's entries."""
 
