@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import struct
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,10 +40,12 @@ from .lean import lean
 
 END = "</w>"
 #: Runs of text and pairs of tokens remembered by a worker; the memory is emptied when full.
-REMEMBER_RUNS, REMEMBER_PAIRS = 150_000, 300_000
-#: Bytes of text whose results leave a worker together.
-FLUSH = 4 << 20
-NO_MERGE = (1 << 60, 0)
+REMEMBER_RUNS, REMEMBER_PAIRS = 150_000, 150_000
+#: Characters of text whose runs are looked up, and whose results leave a worker, together.
+FLUSH = 2 << 20
+NO_MERGE = 1 << 60
+#: Numbers of tokens take fewer bits.
+BITS = 20
 
 
 def byte_letters() -> list[str]:
@@ -52,6 +55,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def _four(ids: list[int]) -> bytes:
+    """Numbers as little-endian 32-bit ones."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TrieEncoder:
     """Encoder for a vocabulary file with byte-level letters and word ends."""
 
@@ -60,27 +68,31 @@ class TrieEncoder:
             spec = json.load(f)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merge: dict[int, int] = {}  # the rank of a pair of tokens
+        self.product = array("i")  # what the pair of a rank becomes
+        # the halves of a token and the rank that makes it; letters are there from the start
+        self.left, self.right, self.made = (array("i", [-1]) * (max(vocab.values()) + 1) for _ in range(3))
+        for rank, m in enumerate(model["merges"]):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            left, right, new = vocab[a], vocab[b], vocab[a + b]
+            self.merge[left << BITS | right] = rank
+            self.product.append(new)
+            self.left[new], self.right[new], self.made[new] = left, right, rank
         self.letters = byte_letters()
         to_byte = {c: b for b, c in enumerate(self.letters)}
-        self.halves = {new: pair for pair, (_, new) in self.merge.items()}
-        self.made = {new: rank for rank, new in self.merge.values()}  # when a token is made; letters are there from the start
-        self.spelt: dict[int, bytes] = {i: t.encode() for t, i in vocab.items()}
+        self.letter = {c: vocab[c] for x in self.letters for c in (x, x + END) if c in vocab}
         inner: dict[bytes, int] = {}
         final: dict[bytes, int] = {}
-        self.symbols: dict[int, list[int]] = {}
         for token, number in vocab.items():
             ends = token.endswith(END)
             body = token.removesuffix(END) if ends else token
             if body and all(c in to_byte for c in body):
                 (final if ends else inner)[bytes(to_byte[c] for c in body)] = number
-                self.symbols[number] = [vocab[c] for c in body[:-1]] + [vocab[body[-1] + END * ends]]
         self._automaton(inner, final)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.spelt |= {i: t.encode() for t, i in self.special.items()}
-        self.four = {i: struct.pack("<I", i) for i in self.spelt}
-        self.token = [self.spelt.get(i) for i in range(max(self.spelt) + 1)]
+        self.token: list[bytes | None] = [None] * (max([*vocab.values(), *self.special.values()]) + 1)
+        for token, number in (*vocab.items(), *self.special.items()):
+            self.token[number] = token.encode()
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\p{White_Space}+")
@@ -92,12 +104,12 @@ class TrieEncoder:
         """The encoding by its definition: merge the pair of least rank, leftmost first, until none is left."""
         out = list(symbols)
         while len(out) > 1:
-            ranks = [self.merge.get(p, NO_MERGE)[0] for p in zip(out, out[1:])]
+            ranks = [self.merge.get(a << BITS | b, NO_MERGE) for a, b in zip(out, out[1:])]
             best = min(ranks)
-            if best == NO_MERGE[0]:
+            if best == NO_MERGE:
                 break
             at = ranks.index(best)
-            out[at : at + 2] = [self.merge[out[at], out[at + 1]][1]]
+            out[at : at + 2] = [self.product[best]]
         return out
 
     def _automaton(self, inner: dict[bytes, int], final: dict[bytes, int]) -> None:
@@ -108,10 +120,14 @@ class TrieEncoder:
                 if token[:n] not in number:
                     number[token[:n]] = len(strings)
                     strings.append(token[:n])
-        self.step: list[dict[int, int]] = [{} for _ in strings]
+        nowhere: dict[int, int] = {}
+        self.step: list[dict[int, int]] = [nowhere] * len(strings)
         for at, string in enumerate(strings[1:], 1):
-            self.step[number[string[:-1]]][string[-1]] = at
-        self.fall = [0] * len(strings)
+            before = number[string[:-1]]
+            if self.step[before] is nowhere:
+                self.step[before] = {}
+            self.step[before][string[-1]] = at
+        self.fall = array("i", [0]) * len(strings)
         self.inner: list[tuple[tuple[int, int], ...]] = [()] * len(strings)
         self.final: list[tuple[tuple[int, int], ...]] = [()] * len(strings)
         for at in sorted(range(1, len(strings)), key=lambda k: len(strings[k])):
@@ -139,26 +155,26 @@ class TrieEncoder:
         merge on either side; had they a merge of their own that came before, it
         would have been made.  On equal rank the pair further left comes first.
         """
-        key = left << 20 | right
+        key = left << BITS | right
         known = self.pairs.get(key)
         if known is not None:
             return known
         if len(self.pairs) >= REMEMBER_PAIRS:
             self.pairs.clear()
-        made, merge, halves = self.made, self.merge, self.halves
-        until = NO_MERGE[0]
+        made, merge = self.made, self.merge
+        until = NO_MERGE
         while True:
-            if merge.get((left, right), NO_MERGE)[0] < until:
+            if merge.get(left << BITS | right, NO_MERGE) < until:
                 known = False
                 break
-            l, r = made.get(left, -1), made.get(right, -1)
+            l, r = made[left], made[right]
             if l < 0 and r < 0:
                 known = True
                 break
             if l > r:
-                until, left = l, halves[left][1]
+                until, left = l, self.right[left]
             else:
-                until, right = r + 1, halves[right][0]
+                until, right = r + 1, self.left[right]
         self.pairs[key] = known
         return known
 
@@ -166,7 +182,9 @@ class TrieEncoder:
         """Whether a token's own string is encoded as that token."""
         known = self.whole.get(token)
         if known is None:
-            known = self.whole[token] = self.merged(self.symbols[token]) == [token]
+            spelt = self.token[token].decode()
+            body = spelt.removesuffix(END)
+            known = self.whole[token] = self.merged([*(self.letter[c] for c in body[:-1]), self.letter[body[-1] + spelt[len(body) :]]]) == [token]
         return known
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
@@ -215,9 +233,7 @@ class TrieEncoder:
             self.ids.clear()
             new = list(runs)
         cut = {r: [r.encode()] if r.isalpha() else [w.encode() for w in self.word.findall(r)] for r in new}
-        four, known = self.four, {}
-        for word, ids in self.encode_words({w for words in cut.values() for w in words}):
-            known[word] = b"".join([four[i] for i in ids])
+        known = {word: _four(ids) for word, ids in self.encode_words({w for words in cut.values() for w in words})}
         for run, words in cut.items():
             self.ids[run] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
@@ -232,21 +248,29 @@ class TrieEncoder:
             numbers = numbers[numbers < len(self.token)]
         return b" ".join([t for t in map(self.token.__getitem__, numbers.tolist()) if t is not None])
 
+    def _parts(self, text: str | None) -> Iterator[list[str] | str]:
+        """The runs of each stretch of a text and the special tokens between them."""
+        text, at = text or "", 0
+        for m in self.cut.finditer(text) if self.cut and "<" in text else ():
+            yield self._runs(text[at : m.start()])
+            yield m[0]
+            at = m.end()
+        yield self._runs(text[at:])
+
     def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        """For each text its ids as little-endian 32-bit numbers."""
-        parts: list[list[list[str] | str]] = []
+        """For each text its ids as little-endian 32-bit numbers.
+
+        Texts are cut twice: the runs of all of them as lists would take ten times the texts' size.
+        """
+        runs: set[str] = set()
+        for text in texts:
+            runs.update(*(p for p in self._parts(text) if not isinstance(p, str)))
+        self._learn(runs)
         for text in texts:
-            text, at, mine = text or "", 0, []
-            for m in self.cut.finditer(text) if self.cut and "<" in text else ():
-                mine += [self._runs(text[at : m.start()]), m[0]]
-                at = m.end()
-            parts.append([*mine, self._runs(text[at:])])
-        self._learn({r for mine in parts for p in mine if not isinstance(p, str) for r in p})
-        for mine in parts:
             ids = []
-            for p in mine:
+            for p in self._parts(text):
                 if isinstance(p, str):
-                    ids.append(self.four[self.special[p]])
+                    ids.append(_four([self.special[p]]))
                 else:
                     ids += map(self.ids.__getitem__, p)
             yield b"".join(ids)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lean import lean
+from .lean import filtered, lean
 from .words import chunks, hashed_words, mixed
 
 HALF, RANK, SEED = 32, 96, 7
@@ -363,12 +363,12 @@ def _clean_batches(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
-            keep, start = np.ones(b.num_rows, bool), 0
+            keep, start = [True] * b.num_rows, 0
             for texts in chunks(t.as_py() for t in b.column(at).cast(pa.binary())):
                 for text, *_ in index.search(texts):
                     keep[start + text] = False
                 start += len(texts)
-            yield b.filter(pa.array(keep))
+            yield from filtered(b, keep)
 
     return run
 

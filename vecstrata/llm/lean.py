@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 Batches = Iterator[pa.RecordBatch]
+#: Rows that a filter looks at before it passes on those it keeps: a copy of a whole batch would be in the worker and in the JVM at once.
+ROWS = 1_000
 
 
 def give_back() -> None:
@@ -37,3 +39,9 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         give_back()
 
     return freed
+
+
+def filtered(b: pa.RecordBatch, keep: list[bool]) -> Batches:
+    """The rows of ``b`` that ``keep`` names, in small batches."""
+    for at in range(0, b.num_rows, ROWS):
+        yield b.slice(at, ROWS).filter(pa.array(keep[at : at + ROWS], pa.bool_()))

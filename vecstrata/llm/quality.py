@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lean import lean
+from .lean import filtered, lean
 
 #: Documents that the scorer is fitted on, at most, and buckets of its trigrams and measurements.
 SAMPLE, BUCKETS = 3000, 1 << 12
@@ -257,7 +257,7 @@ def _keep_batches(shared, at: int):
         model = shared.value
         for b in batches:
             texts = b.column(at).cast(pa.binary())
-            yield b.filter(pa.array([model.judge(t.as_py())[2] for t in texts], pa.bool_()))
+            yield from filtered(b, [model.judge(t.as_py())[2] for t in texts])
 
     return run
 
