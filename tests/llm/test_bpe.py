@@ -1,6 +1,7 @@
 """The encoder against the tokenizers library, id by id."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -102,3 +103,57 @@ def test_query(spark, library):
         ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == sha256(library.decode(ids, skip_special_tokens=False))
+
+
+def test_words_beside_and_over_the_levels(own, library, monkeypatch):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdeinorsté") for _ in range(200))
+    words = {(base[:n] + tail).encode() for n in (1, 2, 5, 40, 61, 62, 63, 64, 65, 70, 200) for tail in ("", "a", "b", "ing", "é", "\x00")}
+    words |= {b"a\x00", b"a", b"a\x00\x00", b"a\x00b"}
+    letter = {b: own.inner[own.step[0][b]][0][1] for b in range(256)}
+    last = {b: own.final[own.step[0][b]][0][1] for b in range(256)}
+    want = [(w, own.merged([letter[b] for b in w[:-1]] + [last[w[-1]]])) for w in sorted(words)]
+    assert list(own.encode_words(words)) == want
+    assert list(own.encode_words([])) == []
+    for levels, some, cut in ((64, 7, 3), (1, 1 << 15, 1), (3, 2, 1 << 14)):
+        monkeypatch.setattr(bpe, "LEVELS", levels)
+        monkeypatch.setattr(bpe, "WORDS", some)
+        monkeypatch.setattr(bpe, "CUT", cut)
+        assert list(own.encode_words(words)) == want
+        own.forget()
+        agree(own, library, ODD)
+
+
+def test_pairs_share_slots(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PAIR_BITS", 2)
+    rng = random.Random(5)
+    fresh = TrieEncoder(word_vocabulary())
+    agree(fresh, library, [" ".join("".join(rng.choice("aeinrstdlo") for _ in range(rng.randint(1, 20))) for _ in range(30)) for _ in range(100)])
+
+
+def test_work_does_not_grow_by_calls_per_letter(own):
+    """Calls from Python for 20,000 new words of eight and more letters, under eight a word."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice(["the", "ing", "at", "er", "ó", "x"]) for _ in range(8)) for _ in range(100)) for _ in range(200)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    own.forget()
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        made = list(own.encode_batch(texts))
+    finally:
+        sys.setprofile(before)
+    assert len(made) == 200 and calls < 8 * 20_000
+
+
+def test_rows_are_decoded_from_ids(own):
+    import pyarrow as pa
+
+    made = pa.array([*own.encode_batch(["one text", None, "", "<|endoftext|> other"])], pa.binary())
+    for rows in (made, made.slice(1), made.slice(2, 1), made.slice(0, 0)):
+        assert own.decode_batch(rows).to_pylist() == [own.decode(x).decode() for x in rows.to_pylist()]
